@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, embed, langid, minhash
 
 QUERIES = {
+    "op5_minhash": minhash.op5_minhash,
+    "op6_langid": langid.op6_langid,
     "op8_bpe": bpe.op8_bpe,
+    "op10_embeddings": embed.op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {}
