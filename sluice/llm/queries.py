@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, embed, langid, minhash
+from . import bpe, decontam, embed, langid, minhash, pii
 
 QUERIES = {
     "op5_minhash": minhash.op5_minhash,
     "op6_langid": langid.op6_langid,
+    "op7_pii": pii.op7_pii,
     "op8_bpe": bpe.op8_bpe,
+    "op9_decontam": decontam.op9_decontam,
     "op10_embeddings": embed.op10_embeddings,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_pii": pii.ORACLE, "op9_decontam": decontam.ORACLE}
