@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, embed, html, langid, minhash, pii, warc
+from . import bpe, decontam, embed, html, langid, linededup, lmscore, minhash, pii, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
     "op2_warc": warc.op2_warc,
+    "op3_lmscore": lmscore.op3_lmscore,
+    "op4_lines": linededup.op4_lines,
     "op5_minhash": minhash.op5_minhash,
     "op6_langid": langid.op6_langid,
     "op7_pii": pii.op7_pii,
@@ -15,4 +17,4 @@ QUERIES = {
     "op10_embeddings": embed.op10_embeddings,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op7_pii": pii.ORACLE, "op9_decontam": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op4_lines": linededup.ORACLE, "op7_pii": pii.ORACLE, "op9_decontam": decontam.ORACLE}
