@@ -1,20 +1,44 @@
-"""A training-corpus pipeline over ``documents``: each stage reads what the one before wrote."""
+"""A training-corpus pipeline over ``documents``.
+
+``STAGES`` are (name, function) pairs.  A function takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written as Parquet and read again as the next one's docs.  All but the last
+return the columns of ``documents``:
+
+language ID        drops documents without any letter of a known language
+line dedup         takes out lines that an earlier document, or line, has, at most a word apart;
+                   drops documents of which nothing is left
+MinHash            keeps one document of each group of near copies
+decontamination    drops documents that hold a passage of a benchmark item
+BPE                the digest of each document's tokens and of the text decoded from them
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe
+from sluice.llm import bpe, common, decontam, langid, linededup, minhash
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs)
+
 
 STAGES = [
-    ("bpe", lambda spark, docs, sf_dir: bpe.digests(docs)),
+    ("language id", langid.stage),
+    ("line dedup", linededup.stage),
+    ("minhash near-dedup", minhash.stage),
+    ("decontamination", decontam.stage),
+    ("bpe", encode),
 ]
 
+#: Language ID and the tokenizer have no SQL form; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents of ``sf_dir``; each reads what the one before wrote."""
+    ws = common.Workspace(spark, "pipeline")
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
