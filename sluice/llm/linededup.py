@@ -149,9 +149,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH l AS (
-  SELECT doc_id, k AS at, ls[k] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+  SELECT doc_id, k AS ln, ls[k] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
 c AS (
-  SELECT line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS m, min(row(doc_id, at)) AS f
+  SELECT line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS m, min(row(doc_id, ln)) AS f
   FROM l WHERE len(string_split(line, ' ')) >= {LEAST_WORDS} GROUP BY line),
 v AS (
   SELECT line, f, m, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS x
@@ -161,9 +161,9 @@ g AS (
   UNION SELECT c.line FROM c JOIN v ON v.x = c.line AND c.m = v.m - 1 WHERE c.m >= {NEAR_WORDS} AND v.f < c.f
   UNION SELECT v.line FROM c JOIN v ON v.x = c.line AND c.m = v.m - 1 WHERE c.m >= {NEAR_WORDS} AND c.f < v.f),
 k AS (
-  SELECT l.doc_id, l.at, l.line, c.line IS NOT NULL AND (g.line IS NOT NULL OR row(l.doc_id, l.at) > c.f) AS gone
+  SELECT l.doc_id, l.ln, l.line, c.line IS NOT NULL AND (g.line IS NOT NULL OR row(l.doc_id, l.ln) > c.f) AS gone
   FROM l LEFT JOIN c ON l.line = c.line LEFT JOIN g ON l.line = g.line)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(t, '') END AS text
 FROM documents d LEFT JOIN (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone) AS t FROM k GROUP BY doc_id) USING (doc_id)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE NOT gone) AS t FROM k GROUP BY doc_id) USING (doc_id)
 """
