@@ -1 +1,246 @@
-"""Queries."""
+"""Matching over ``lineitem``, ``embeddings``, ``conversations``, ``customer``: a group is a corpus, a number a record."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sluice.catalog import query
+from sluice.functions import text as T
+from sluice.operators import match
+from sluice.sources.tables import small, table, values, values_sql
+
+# Nations are corpora; the first suppliers of a nation are reference rows, its first customers records.
+PAIRS = """s AS (SELECT s_nationkey AS corpus, s_suppkey AS gt, s_acctbal AS x FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 6),
+c AS (SELECT c_nationkey AS corpus, c_custkey AS pred, c_acctbal AS y FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 8),
+p AS (SELECT corpus, gt, pred, greatest(0.0, 1 - abs(x - y) / greatest(abs(x), abs(y), 1e-9)) AS score FROM s JOIN c USING (corpus))"""
+
+
+def _first(df, part: str, by: str, n: int):
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(part).orderBy(by))).where(F.col("_k") <= n).drop("_k")
+
+
+def pairs(spark, d):
+    s = _first(table(spark, d, "supplier"), "s_nationkey", "s_suppkey", 6).select(F.col("s_nationkey").alias("corpus"), F.col("s_suppkey").alias("gt"), F.col("s_acctbal").alias("x"))
+    c = _first(table(spark, d, "customer"), "c_nationkey", "c_custkey", 8).select(F.col("c_nationkey").alias("corpus"), F.col("c_custkey").alias("pred"), F.col("c_acctbal").alias("y"))
+    return s.join(c, "corpus").select("corpus", "gt", "pred", T.closeness(F.col("x"), F.col("y")).alias("score"))
+
+
+@query("c9_scored_pairs", f"WITH {PAIRS} SELECT * FROM p")
+def c9(spark, d):
+    return pairs(spark, d)
+
+
+@query("l2_assignment")
+def l2(spark, d):
+    return match.assignment(pairs(spark, d), "corpus")
+
+
+BEST = "best AS (SELECT corpus, gt, pred, score FROM p QUALIFY row_number() OVER (PARTITION BY corpus, gt ORDER BY score DESC, pred) = 1)"
+
+
+def best(spark, d):
+    w = Window.partitionBy("corpus", "gt").orderBy(F.desc("score"), "pred")
+    return pairs(spark, d).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+@query("l3_accepted_pairs", f"WITH {PAIRS}, {BEST} SELECT corpus, tp, n_pred - tp AS fp, n_gt - tp AS fn, least(n_gt, n_pred) / n_pred::DOUBLE AS ceiling FROM (SELECT corpus, count(*) FILTER (WHERE score >= 0.6) AS tp FROM best GROUP BY 1) JOIN (SELECT corpus, count(DISTINCT gt) AS n_gt, count(DISTINCT pred) AS n_pred FROM p GROUP BY 1) USING (corpus)")
+def l3(spark, d):
+    n = pairs(spark, d).groupBy("corpus").agg(F.count_distinct("gt").alias("n_gt"), F.count_distinct("pred").alias("n_pred"))
+    return best(spark, d).join(n, "corpus").groupBy("corpus").agg(*match.counts(None, F.col("n_gt"), F.col("n_pred"), 0.6))
+
+
+@query("l4_audit_rows", f"WITH {PAIRS}, {BEST} SELECT corpus, gt, pred, score, 'pair' AS kind FROM best UNION ALL SELECT DISTINCT corpus, NULL, pred, NULL, 'unpaired record' FROM p WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.corpus = p.corpus AND b.pred = p.pred)")
+def l4(spark, d):
+    b = best(spark, d)
+    rest = pairs(spark, d).select("corpus", "pred").distinct().join(b.select("corpus", "pred"), ["corpus", "pred"], "left_anti")
+    return b.withColumn("kind", F.lit("pair")).unionByName(rest.withColumn("kind", F.lit("unpaired record")), allowMissingColumns=True)
+
+
+@query("e13_runner_up", f"WITH {PAIRS}, {BEST} SELECT b.corpus, b.gt, b.pred, b.score, max(p.score) AS next_score, b.score - max(p.score) AS margin FROM best b JOIN p ON p.corpus = b.corpus AND p.gt = b.gt AND p.pred <> b.pred GROUP BY b.corpus, b.gt, b.pred, b.score")
+def e13(spark, d):
+    return match.runner_up(pairs(spark, d), best(spark, d), ["corpus", "gt"])
+
+
+@query("e17_threshold_curve", f"WITH {PAIRS}, {BEST}, t AS (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS t), n AS (SELECT count(*) AS n FROM best) SELECT t, tp, 2.0 * tp / (n + n) AS f1 FROM (SELECT t, count(*) FILTER (WHERE score >= t) AS tp FROM best, t GROUP BY t), n")
+def e17(spark, d):
+    t = spark.range(11).select((F.col("id") / 10.0).alias("t"))
+    got = best(spark, d).crossJoin(F.broadcast(t)).groupBy("t").agg(F.count_if(F.col("score") >= F.col("t")).alias("tp"), F.count("*").alias("n"))
+    return got.select("t", "tp", (2.0 * F.col("tp") / (F.col("n") + F.col("n"))).alias("f1"))
+
+
+@query("e18_weight_sweep")
+def e18(spark, d):
+    weights = spark.range(5).select((F.col("id") * 0.25).alias("w"))
+    p = pairs(spark, d).crossJoin(F.broadcast(weights))
+    blended = p.select(F.concat_ws("@", "corpus", "w").alias("setting"), "gt", "pred", (F.col("w") * F.col("score") + (1 - F.col("w")) * (F.col("gt") % 7 == F.col("pred") % 7).cast("double")).alias("score"))
+    return match.assignment(blended, "setting").groupBy("setting").agg(F.round(F.sum("score"), 9).alias("total"), F.count_if(F.col("score") >= 0.6).alias("tp"))
+
+
+@query("e12_rank_per_setting", f"WITH {PAIRS}, {BEST} SELECT corpus, t, f, rank() OVER (PARTITION BY t ORDER BY f DESC) AS place FROM (SELECT corpus, t, round(count(*) FILTER (WHERE score >= t) / count(*)::DOUBLE, 6) AS f FROM best, (VALUES (0.5), (0.7), (0.9)) v(t) GROUP BY corpus, t)")
+def e12(spark, d):
+    t = values(spark, "t double", [(0.5,), (0.7,), (0.9,)]).select(F.col("t").cast("decimal(2,1)").alias("t"))
+    f = best(spark, d).crossJoin(F.broadcast(t)).groupBy("corpus", "t").agg(F.round(F.count_if(F.col("score") >= F.col("t")) / F.count("*"), 6).alias("f"))
+    return f.withColumn("place", F.rank().over(Window.partitionBy("t").orderBy(F.desc("f"))))
+
+
+@query("e14_curve_shape", f"WITH {PAIRS}, {BEST}, g AS (SELECT corpus, t, count(*) FILTER (WHERE score >= t / 10.0) AS n FROM best, (SELECT unnest(range(0, 11)) AS t) GROUP BY corpus, t) SELECT corpus, t, CASE WHEN n > coalesce(p, n) AND n > coalesce(x, n) THEN 'peak' WHEN n = coalesce(p, n) AND n = coalesce(x, n) THEN 'plateau' WHEN n <= coalesce(p, n) AND n >= coalesce(x, n) THEN 'declining' ELSE 'rising' END AS shape FROM (SELECT *, lag(n) OVER w AS p, lead(n) OVER w AS x FROM g WINDOW w AS (PARTITION BY corpus ORDER BY t))")
+def e14(spark, d):
+    t = spark.range(11).select(F.col("id").alias("t"))
+    g = best(spark, d).crossJoin(F.broadcast(t)).groupBy("corpus", "t").agg(F.count_if(F.col("score") >= F.col("t") / 10.0).alias("n"))
+    w = Window.partitionBy("corpus").orderBy("t")
+    p, x, n = F.coalesce(F.lag("n").over(w), "n"), F.coalesce(F.lead("n").over(w), "n"), F.col("n")
+    return g.select("corpus", "t", F.when((n > p) & (n > x), "peak").when((n == p) & (n == x), "plateau").when((n <= p) & (n >= x), "declining").otherwise("rising").alias("shape"))
+
+
+COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+
+
+def _nearest(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return match.top_k(q, e.select("vec_id", "embedding"), 5, match.cosine(F.col("q"), F.col("embedding")), "query", "vec_id")
+
+
+@query("l1_cosine", f"SELECT a.vec_id AS query, b.vec_id, round(greatest({COS}, 0), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
+def l1(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return e.join(F.broadcast(q)).select("query", "vec_id", F.round(F.greatest(match.cosine(F.col("q"), F.col("embedding")), F.lit(0.0)), 9).alias("score"))
+
+
+TOP = f"t AS (SELECT query, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query, b.vec_id, {COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= 5)"
+
+
+@query("f4_top_k_above", f"WITH {TOP} SELECT query, vec_id, rank FROM t WHERE score >= 0.3")
+def f4(spark, d):
+    return _nearest(spark, d).where("score >= 0.3").select("query", "vec_id", "rank")
+
+
+@query("f5_top_k_within", f"WITH {TOP} SELECT query, vec_id, rank FROM t WHERE 1 - score <= 0.6")
+def f5(spark, d):
+    return _nearest(spark, d).where("1 - score <= 0.6").select("query", "vec_id", "rank")
+
+
+@query("b23_metadata_filter", f"SELECT a.vec_id AS query, b.vec_id, round({COS}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.label = 3")
+def b23(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return e.where("label = 3").join(F.broadcast(q)).select("query", "vec_id", F.round(match.cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
+
+
+# Runs are line numbers; a rule id is a part, its fields quantity and discount.
+VOTES = "WITH r AS (SELECT l_linenumber AS run, l_partkey AS rule, l_quantity AS x, l_discount AS y, l_orderkey AS id FROM lineitem WHERE l_linenumber <= 3)"
+
+
+def votes(spark, d):
+    li = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    return li.select(F.col("l_linenumber").alias("run"), F.col("l_partkey").alias("rule"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_orderkey").alias("id"))
+
+
+@query("d29_run_vote", f"{VOTES} SELECT rule, count(DISTINCT run) AS runs FROM r GROUP BY rule HAVING count(DISTINCT run) >= 2")
+def d29(spark, d):
+    return votes(spark, d).groupBy("rule").agg(F.count_distinct("run").alias("runs")).where("runs >= 2")
+
+
+@query("d28_field_majority", f"{VOTES} SELECT rule, y, n FROM (SELECT rule, y, count(*) AS n FROM r GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rule ORDER BY n DESC, y) = 1 AND n >= 2")
+def d28(spark, d):
+    n = votes(spark, d).groupBy("rule", "y").agg(F.count("*").alias("n"))
+    top = n.groupBy("rule").agg(F.max(F.struct("n", (-F.col("y")).alias("k"))).alias("b"))
+    return top.select("rule", (-F.col("b.k")).alias("y"), F.col("b.n").alias("n")).where("n >= 2")
+
+
+AGREE = "(3 * (CASE WHEN abs(a.x - b.x) <= 1 THEN 1.0 ELSE 0 END) + 1 * (CASE WHEN a.y = b.y THEN 1.0 ELSE 0 END)) / 4"
+
+
+def _agree(spark, d):
+    v = votes(spark, d).where("rule < 60")
+    a, b = v.select("rule", *[F.col(c).alias(f"a_{c}") for c in ("id", "run", "x", "y")]), v.select("rule", *[F.col(c).alias(f"b_{c}") for c in ("id", "run", "x", "y")])
+    near, same = (F.abs(F.col("a_x") - F.col("b_x")) <= 1).cast("double"), (F.col("a_y") == F.col("b_y")).cast("double")
+    return a.join(b, "rule").withColumn("score", (3 * near + same) / 4)
+
+
+@query("l5_field_agreement", f"{VOTES} SELECT a.rule, a.id AS a_id, b.id AS b_id, ({AGREE})::DOUBLE AS score FROM r a JOIN r b USING (rule) WHERE rule < 60 AND a.id < b.id")
+def l5(spark, d):
+    return _agree(spark, d).where("a_id < b_id").select("rule", "a_id", "b_id", "score")
+
+
+@query("l6_medoid", f"{VOTES}, s AS (SELECT a.rule, a.id, sum({AGREE})::DOUBLE AS total FROM r a JOIN r b USING (rule) WHERE rule < 60 AND a.id <> b.id GROUP BY ALL) SELECT rule, id AS medoid, total FROM s QUALIFY row_number() OVER (PARTITION BY rule ORDER BY total DESC, id) = 1")
+def l6(spark, d):
+    return match.medoids(_agree(spark, d).where("a_id <> b_id"), "rule", "a_id", "score")
+
+
+@query("l7_greedy_clusters")
+def l7(spark, d):
+    p = _agree(spark, d).where("a_id < b_id").select("rule", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_run").alias("run_a"), F.col("b_run").alias("run_b"), "score")
+    return match.greedy_clusters(p, "rule", 0.55)
+
+
+@query("l8_content_vote", f"{VOTES}, k AS (SELECT rule FROM r GROUP BY rule HAVING count(DISTINCT run) >= 2), m AS (SELECT rule, y FROM (SELECT rule, y, count(*) AS n FROM r GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rule ORDER BY n DESC, y) = 1) SELECT rule, y, avg(x) AS x FROM r JOIN k USING (rule) JOIN m USING (rule, y) GROUP BY rule, y")
+def l8(spark, d):
+    v = votes(spark, d)
+    kept = v.groupBy("rule").agg(F.count_distinct("run").alias("k")).where("k >= 2")
+    n = v.groupBy("rule", "y").agg(F.count("*").alias("n")).groupBy("rule").agg((-F.max(F.struct("n", (-F.col("y")).alias("k")))["k"]).alias("y"))
+    return v.join(kept.select("rule"), "rule").join(n, ["rule", "y"]).groupBy("rule", "y").agg(F.avg("x").alias("x"))
+
+
+@query("l9_hindsight_gap", "WITH m AS (SELECT l_suppkey AS cfg, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd FROM lineitem GROUP BY 1) SELECT cfg, round(mean - other, 9) AS gap, mean - other > sd AS beyond FROM (SELECT *, CASE WHEN mean = max(mean) OVER () THEN (SELECT max(mean) FROM m WHERE mean < (SELECT max(mean) FROM m)) ELSE max(mean) OVER () END AS other FROM m)")
+def l9(spark, d):
+    m = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("cfg")).agg(F.avg("l_quantity").alias("mean"), F.stddev_samp("l_quantity").alias("sd"))
+    top = m.agg(F.max("mean").alias("first"))
+    second = m.join(F.broadcast(top)).where("mean < first").agg(F.max("mean").alias("second"))
+    both = m.join(F.broadcast(top)).join(F.broadcast(second))
+    gap = F.col("mean") - F.when(F.col("mean") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    return both.select("cfg", F.round(gap, 9).alias("gap"), (gap > F.col("sd")).alias("beyond"))
+
+
+@query("c22_similar_names", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 9) AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE jaro_winkler_similarity(a.p_name, b.p_name) > 0.8")
+def c22(spark, d):
+    p = table(spark, d, "part")
+    a, b = (p.select("p_brand", "p_size", F.col("p_partkey").alias(x), F.col("p_name").alias(f"{x}_name")) for x in "ab")
+    return a.join(b, ["p_brand", "p_size"]).where("a < b").withColumn("s", match.similar_names("a_name", "b_name")).where("s > 0.8").select("a", "b", F.round("s", 9).alias("s"))
+
+
+KEYS = [("c_custkey",), ("c_nationkey",), ("s_suppkey",), ("s_nationkey",), ("n_nationkey",), ("n_regionkey",), ("r_regionkey",)]
+
+
+@query("c23_key_correlation")
+def c23(spark, d):
+    k = values(spark, "k string", KEYS)
+    both = small(k.select(F.col("k").alias("a"))).crossJoin(k.select(F.col("k").alias("b"))).where("a < b").withColumn("ratio", match.matcher_ratio("a", "b"))
+    return both.where("ratio > 0.6").groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("m")).select("a", "m.b", F.round("m.ratio", 6).alias("ratio"))
+
+
+RAW_ZONES = [("urgent",), ("1 urgent",), ("high ",), ("2_HIGH",), ("medum",), ("4-not specifed",), ("lower",), ("xyz",)]
+
+
+@query("c8_fuzzy_zone")
+def c8(spark, d):
+    zones = table(spark, d, "orders").select(F.col("o_orderpriority").alias("zone")).distinct().withColumn("z", T.alnum(F.col("zone")))
+    raw = values(spark, "raw string", RAW_ZONES).withColumn("z", T.alnum(F.col("raw")))
+    both = raw.withColumnRenamed("z", "x").crossJoin(small(zones)).withColumn("ratio", F.when(F.col("x") == F.col("z"), 2.0).otherwise(match.matcher_ratio("x", "z")))
+    return both.where("ratio >= 0.72").groupBy("raw").agg(F.max(F.struct("ratio", "zone")).alias("m")).select("raw", "m.zone", F.least(F.round("m.ratio", 6), F.lit(1.0)).alias("ratio"))
+
+
+@query("c24_neighbour_overlap", "WITH n AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), c AS (SELECT s, count(*) AS n FROM n GROUP BY 1) SELECT a.s AS a, b.s AS b, count(*) AS shared, count(*) / any_value(c.n)::DOUBLE AS share FROM n a JOIN n b ON a.p = b.p AND a.s < b.s JOIN c ON c.s = a.s WHERE a.s < 10 AND b.s < 10 GROUP BY a.s, b.s")
+def c24(spark, d):
+    n = table(spark, d, "lineitem").where("l_suppkey < 10").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    c = n.groupBy("s").agg(F.count("*").alias("n"))
+    both = n.toDF("a", "p").join(n.toDF("b", "p"), "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return both.join(c.toDF("a", "n"), "a").select("a", "b", "shared", (F.col("shared") / F.col("n")).alias("share"))
+
+
+@query("f3_top_suggestions", "SELECT doc_id, item_id, r FROM (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY j DESC, item_id DESC) AS r FROM (SELECT doc_id, item_id, len(list_intersect(x, y)) AS j FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM documents) a, (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS y FROM benchmark) b)) WHERE r <= 3")
+def f3(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("x"))
+    items = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("y"))
+    j = docs.join(small(items)).select("doc_id", "item_id", F.size(F.array_intersect("x", "y")).alias("j"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("j"), F.desc("item_id"))
+    return j.withColumn("r", F.row_number().over(w)).where("r <= 3").select("doc_id", "item_id", "r")
+
+
+@query("f8_greedy_order", f"{VOTES}, q AS (SELECT a.rule, a.id AS a, b.id AS b, ({AGREE})::DOUBLE AS score FROM r a JOIN r b USING (rule) WHERE rule < 60 AND a.id < b.id) SELECT rule, a, b, row_number() OVER (PARTITION BY rule ORDER BY score DESC, a, b) AS place FROM q WHERE score >= 0.55")
+def f8(spark, d):
+    p = _agree(spark, d).where("a_id < b_id and score >= 0.55")
+    w = Window.partitionBy("rule").orderBy(F.desc("score"), "a_id", "b_id")
+    return p.select("rule", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.row_number().over(w).alias("place"))
