@@ -1 +1,79 @@
-"""Queries."""
+"""Controls over ``supplier``, ``documents``, ``orders``; streams over ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluice.catalog import query
+from sluice.functions import text as T
+from sluice.operators import control, match
+from sluice.sources.tables import table
+from sluice.streaming import streams
+
+
+@query("m1_derangement", "SELECT count(*) AS n, 0::BIGINT AS fixed, count(DISTINCT s_name) AS names FROM supplier")
+def m1(spark, d):
+    m = control.deranged(table(spark, d, "supplier"), "s_suppkey", "s_name", 42)
+    return m.agg(F.count("*").alias("n"), F.count_if(F.col("moved") == F.col("s_name")).alias("fixed"), F.count_distinct("moved").alias("names"))
+
+
+@query("m2_shuffled_decisions", "SELECT o_orderstatus AS moved, count(*) AS n FROM orders GROUP BY 1")
+def m2(spark, d):
+    return control.shifted(table(spark, d, "orders"), "o_orderkey", "o_orderstatus", 7, ["o_orderpriority"]).groupBy("moved").agg(F.count("*").alias("n"))
+
+
+@query("m3_corrupt_numbers", "SELECT p_partkey, (3 * p_size + 7)::VARCHAR AS t FROM part")
+def m3(spark, d):
+    return table(spark, d, "part").select("p_partkey", control.corrupt_numbers(F.col("p_size").cast("string")).alias("t"))
+
+
+@query("m4_rotated_numbers", "SELECT n, x, count(*) AS k FROM (SELECT len(l) AS n, unnest(l) AS x FROM (SELECT list(l_quantity) AS l FROM lineitem GROUP BY l_orderkey)) GROUP BY ALL")
+def m4(spark, d):
+    r = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("l"))
+    return control.rotated(r, "l_orderkey", "l", 3).select(F.size("moved").alias("n"), F.explode("moved").alias("x")).groupBy("n", "x").agg(F.count("*").alias("k"))
+
+
+@query("m5_reversed_numbers", "SELECT o_orderkey, o_custkey || ' then ' || o_orderkey AS t FROM orders")
+def m5(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", control.reverse_numbers(F.format_string("%d then %d", "o_orderkey", "o_custkey")).alias("t"))
+
+
+@query("m6_permuted_categories", "SELECT c_mktsegment AS moved, count(*) AS n FROM customer GROUP BY 1")
+def m6(spark, d):
+    return control.shifted(table(spark, d, "customer"), "c_custkey", "c_mktsegment", 11, ["c_nationkey"]).groupBy("moved").agg(F.count("*").alias("n"))
+
+
+@query("m7_word_salad", r"SELECT item_id, list_sort(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM benchmark")
+def m7(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_sort(F.split(control.word_salad("text"), " ")).alias("w"))
+
+
+@query("m8_padded_numbers", "SELECT p_partkey, (SELECT count(DISTINCT p_size) FROM part) AS n FROM part")
+def m8(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.array("p_size").alias("x"))
+    return control.padded(p, "p_partkey", "x").select("p_partkey", F.size("padded").cast("long").alias("n"))
+
+
+@query("m9_wrong_corpus")
+def m9(spark, d):
+    s = table(spark, d, "supplier").where("s_nationkey < 4").select(F.col("s_nationkey").alias("own"), F.col("s_suppkey").alias("gt"), F.col("s_acctbal").alias("x"))
+    c = table(spark, d, "customer").where("c_nationkey < 4 and c_custkey < 400").select(F.col("c_nationkey").alias("other"), F.col("c_custkey").alias("pred"), F.col("c_acctbal").alias("y"))
+    p = s.join(F.broadcast(c)).where("own <> other").select(F.concat_ws(">", "own", "other").alias("pair"), "gt", "pred", T.closeness(F.col("x"), F.col("y")).alias("score"))
+    return match.assignment(p, "pair").groupBy("pair").agg(F.round(F.sum("score"), 9).alias("total"))
+
+
+@query("m11_stratified_sample", "SELECT least(20, count(*)) AS n, 20::BIGINT // 5 AS least_per_stratum FROM orders")
+def m11(spark, d):
+    s = control.stratified(table(spark, d, "orders"), "o_orderkey", ["o_orderpriority"], 20, 5)
+    return s.groupBy("o_orderpriority").agg(F.count("*").alias("k")).agg(F.sum("k").alias("n"), F.min("k").alias("least_per_stratum"))
+
+
+@query("m12_seeded_draw", "SELECT count(*) AS n, count(DISTINCT c_custkey) AS streams FROM customer")
+def m12(spark, d):
+    return table(spark, d, "customer").agg(F.count("*").alias("n"), F.count_distinct(control.draw(1, "c_custkey")).alias("streams"))
+
+
+@query("i6_tumbling_windows", "SELECT event_type AS sensor, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, max(value) AS hi FROM events GROUP BY ALL")
+def i6(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("sensor"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return streams.tumbling(e, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
