@@ -16,7 +16,7 @@ def a6(spark, d):
     return table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"), F.length("text").alias("n"))
 
 
-@query("a7_lines", f"WITH {LINES} SELECT doc_id || '.txt' AS source_file, n AS line_no, s AS text FROM lines")
+@query("a7_lines", f"WITH {LINES} SELECT doc_id || '.txt' AS source_file, n AS line_no, s AS text FROM lines JOIN documents USING (doc_id) WHERE n = 1 OR s <> '' OR n < len(string_split(text, chr(10)))")
 def a7(spark, d):
     return files.lines(table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"), "text"))
 

@@ -24,13 +24,13 @@ def csv(spark: SparkSession, path: str, schema: str | None = None, columns: list
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """source_file, text of each *.txt, by name."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    df = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), "^.*/", "").alias("source_file"), F.col("value").alias("text"))
 
 
 def lines(df: DataFrame) -> DataFrame:
-    """source_file, line_no from 1, text."""
-    return df.select("source_file", F.posexplode(F.split("text", "\r?\n")).alias("k", "line")).select("source_file", (F.col("k") + 1).alias("line_no"), F.col("line").alias("text"))
+    """source_file, line_no from 1, text (A7); a line feed at the very end begins no line."""
+    return df.select("source_file", F.posexplode(F.split(F.regexp_replace("text", "\r?\n$", ""), "\r?\n")).alias("k", "line")).select("source_file", (F.col("k") + 1).alias("line_no"), F.col("line").alias("text"))
 
 
 def json(spark: SparkSession, path: str) -> DataFrame:
