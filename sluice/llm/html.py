@@ -51,7 +51,7 @@ AWAY = frozenset("head nav footer aside form menu dialog fieldset header".split(
 NAMES = frozenset(
     "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside related recommended "
     "share sharing social comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search "
-    "widget toolbar pagination pager skip hidden copyright".split()
+    "widget toolbar pagination pager skip hidden copyright responses discussion feedback announcement disclaimer adslot adbox adunit sponsors teaser teasers trending".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 MAIN_NAMES = frozenset("content article post entry story articlebody main text".split())

@@ -11,7 +11,7 @@ def words(rng, n):
 
 def page(rng, k, main):
     paras = [words(rng, rng.randint(8, 40)) for _ in range(rng.randint(2, 6))]
-    body = "".join(f"<p>{p.replace(' ', ' <b>', 1).replace(' ', '</b> ', 1) if False else p}</p>" for p in paras)
+    body = "".join(f"<p>{p}</p>" for p in paras)
     title = words(rng, 5)
     open_, close = main
     return (
