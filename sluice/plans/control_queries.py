@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from sluice.catalog import query
 from sluice.functions import text as T
-from sluice.operators import control, match
-from sluice.sources.tables import table
+from sluice.operators import control, detect, match
+from sluice.plans import detect_queries as dq
+from sluice.sources.tables import scratch, table
 from sluice.streaming import streams
 
 
@@ -77,3 +78,35 @@ def m12(spark, d):
 def i6(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("sensor"), F.col("ts").cast("timestamp").alias("ts"), "value")
     return streams.tumbling(e, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("h28_transformed_value", "SELECT p_partkey, format('{:.12g}', 3 * p_retailprice + 7) AS v FROM part")
+def h28(spark, d):
+    return table(spark, d, "part").select("p_partkey", control.corrupt_numbers(F.col("p_retailprice").cast("string")).alias("v"))
+
+
+@query("i1_stream_alarms", f"{dq.BASE} SELECT sensor, ts, value, severity, rule_id FROM alarms")
+def i1(spark, d):
+    """The batch alarms from a stream that reads what there is and stops."""
+    at, schema = scratch(spark, "stream"), "sensor string, ts timestamp, value double"
+    dq.readings(spark, d).select("sensor", F.col("ts").cast("timestamp").alias("ts"), "value").write.parquet(f"{at}/in")
+    source = spark.readStream.schema(schema).parquet(f"{at}/in")
+    alarms = streams.on_delay(detect.judged(source, dq.rules(spark)), dq.DELAY)
+    run = alarms.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(streams.ALARM).parquet(f"{at}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("i4_stream_events", f'{dq.BASE}, {dq.event_sql()} SELECT sensor, start, "end", n_alarms FROM evs')
+def i4(spark, d):
+    a = dq.alarms(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    s = streams.sessions(a, f"{dq.GAP} minutes", "1 hour")
+    return s.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@query("i5_commissioning", "SELECT event_type AS sensor, count(*) FILTER (WHERE date_diff('microsecond', (SELECT min(ts) FROM events), ts) <= 24 * 3600e6) AS commissioning, count(*) AS n FROM events GROUP BY 1")
+def i5(spark, d):
+    r = dq.readings(spark, d)
+    r = r.join(F.broadcast(r.agg(F.min("ts").alias("origin"))))
+    early = F.timestamp_diff("MICROSECOND", F.col("origin"), F.col("ts")) <= 24 * 3600 * 10**6
+    return r.groupBy("sensor").agg(F.count_if(early).alias("commissioning"), F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from sluice.catalog import query
 from sluice.plans.text_queries import LINES, lines
 from sluice.sources import files
 from sluice.functions import cache
-from sluice.sources.tables import table, values
+from sluice.sources.tables import scratch, table, values
 
 
 @query("a6_documents", "SELECT doc_id || '.txt' AS source_file, length(text) AS n FROM documents")
@@ -124,3 +124,48 @@ def p_svm(spark, d):
     train = F.pmod(F.xxhash64("vec_id"), F.lit(4)) < 3
     model = LinearSVC(maxIter=10).fit(e.where(train))
     return model.transform(e.where(~train)).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("a1_csv_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def a1(spark, d):
+    at = scratch(spark, "csv")
+    files.write_csv(table(spark, d, "nation"), at)
+    return files.csv(spark, at, schema="n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("a2_csv_text", "SELECT n_nationkey::VARCHAR AS n_nationkey, CASE WHEN n_regionkey = 1 THEN '' ELSE n_name END AS n_name FROM nation")
+def a2(spark, d):
+    at = scratch(spark, "csv")
+    files.write_csv(table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_regionkey") != 1, F.col("n_name")).alias("n_name")), at)
+    return files.csv(spark, at)
+
+
+@query("a3_csv_typed", "SELECT s_suppkey, s_acctbal FROM supplier")
+def a3(spark, d):
+    at = scratch(spark, "csv")
+    files.write_csv(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), at)
+    return files.csv(spark, at, infer=True).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_acctbal")
+
+
+@query("a19_append_log", "SELECT r_regionkey, r_name, count(*) AS n FROM (SELECT * FROM region UNION ALL SELECT * FROM region) GROUP BY ALL")
+def a19(spark, d):
+    at, r = scratch(spark, "log"), table(spark, d, "region")
+    files.write_csv(r, at)
+    files.write_csv(r, at, "append")
+    return files.csv(spark, at, schema="r_regionkey int, r_name string").groupBy("r_regionkey", "r_name").agg(F.count("*").alias("n"))
+
+
+REPLIES = [(1, '{"records": [{"id": "R1", "lines": [3, 4], "fields": {"hi": "5"}}, {"id": "R2", "lines": [9], "fields": {}}]}'), (2, '{"records": []}'), (3, "no reply")]
+
+
+@query("o3_reply_records", "SELECT * FROM (VALUES (1, 'R1', 2), (1, 'R2', 1)) t(chunk, id, n_lines)")
+def o3(spark, d):
+    kind = "records array<struct<id: string, lines: array<int>, fields: map<string, string>>>"
+    r = values(spark, "chunk int, reply string", REPLIES).select("chunk", F.explode(F.from_json("reply", kind)["records"]).alias("r"))
+    return r.select("chunk", "r.id", F.size("r.lines").alias("n_lines"))
+
+
+@query("o4_schema_mapping", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'construction' ELSE c_mktsegment END AS category FROM customer")
+def o4(spark, d):
+    m = values(spark, "c_mktsegment string, to string", [("BUILDING", "construction")])
+    return table(spark, d, "customer").join(F.broadcast(m), "c_mktsegment", "left").select("c_custkey", F.coalesce("to", "c_mktsegment").alias("category"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +37,9 @@ def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` has at most ``rows`` rows; the count stops beyond that."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir`` where the session has one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
