@@ -25,16 +25,14 @@ hash.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 LEAST_WORDS, NEAR_WORDS = 5, 8
-#: Lines that may be broadcast back to the texts; beyond, the join shuffles.
-BROADCAST_LINES = 300_000
+#: Lines, and shared halves, that may be broadcast; beyond, the join shuffles.
+BROADCAST_LINES, BROADCAST_KEYS = 300_000, 1_000_000
 
 
 def _hash(words: Column, *more) -> Column:
@@ -85,41 +83,46 @@ def drops(docs: DataFrame) -> DataFrame:
     keyed = ws.save(keyed, "keyed")
     classes = ws.save(keyed.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "classes")
     again = keyed.join(classes.select("k1", "k2", "first"), ["k1", "k2"]).where(place != F.col("first")).select("doc_id", "mark", "at")
-    # lines that share a half with another line
-    half = classes.where("halves is not null").select("k1", "k2", "first", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    near = ws.save(half.join(shared, "half", "left_semi").groupBy("k1", "k2").agg(F.first("first").alias("first")), "near")
-    n = near.count()
-    spots = near.select("k1", "k2", "first.doc_id", "first.mark", "first.at")
-    spots = F.broadcast(spots) if n <= BROADCAST_LINES else spots
+    again = ws.save(again, "again")
+    ws.drop(keyed)
+    # lines that share a half with another line; from here on its first place stands for a line
+    half = classes.where("halves is not null").select("first", F.posexplode("halves").alias("part", "half"))
+    shared = ws.save(half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "shared")
+    near = half.join(_small(shared, BROADCAST_KEYS), "half", "left_semi").groupBy("first").agg(F.bool_or(F.col("part") % 2 == 0).alias("head"), F.bool_or(F.col("part") % 2 == 1).alias("tail"))
+    near = ws.save(near.select("first.*", "head", "tail"), "near")
     own = lines.alias("l").join(
-        spots.alias("s"), F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("l.mark") == F.col("s.mark")) & (F.col("l.at") == F.col("s.at"))
-    ).select("k1", "k2", F.struct("l.doc_id", "l.mark", "l.at").alias("first"), "words", "m").dropDuplicates(["k1", "k2"])
+        _small(near, BROADCAST_LINES).alias("s"), F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("l.mark") == F.col("s.mark")) & (F.col("l.at") == F.col("s.at"))
+    ).select(F.struct("l.doc_id", "l.mark", "l.at").alias("first"), "words", "m", "head", "tail").dropDuplicates(["first"])
     own = ws.save(own, "own")
-    variants = own.select("k1", "k2", "first", "m", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m")), lambda i: F.when(i == 0, _hash(F.col("words"))).otherwise(_hash(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.col("m"))))))).alias("i", "variant"))
-    # an insertion's shorter line must be long enough too
-    variants = variants.where((F.col("i") == 0) | (F.col("m") >= NEAR_WORDS))
-    variants = ws.save(variants.select("k1", "k2", "first", "m", "i", "variant"), "variants")
-    cut = variants.where("i > 0")
-    whole = variants.where("i = 0")
-    seen = {
-        # one replacement: the same variant at the same position
-        "same": (cut, cut.groupBy("variant", "i").agg(F.min("first").alias("earliest")), ["variant", "i"]),
-        # one insertion: a longer line without a word is this line, or this line without one is a shorter line
-        "longer": (whole, cut.groupBy("variant").agg(F.min("first").alias("earliest")), ["variant"]),
-        "shorter": (cut, whole.groupBy("variant").agg(F.min("first").alias("earliest")), ["variant"]),
-    }
-    pairs = [a.join(b, on).where(F.col("earliest") < F.col("first")).select("k1", "k2", "earliest") for a, b, on in seen.values()]
-    pairs = reduce(DataFrame.unionByName, pairs).distinct()
-    theirs = own.select(F.col("first").alias("earliest"), F.col("words").alias("their"))
-    gone = pairs.join(own.select("k1", "k2", "words"), ["k1", "k2"]).join(theirs, "earliest").where(_one_edit(F.col("words"), F.col("their"))).select("k1", "k2").distinct()
-    # of a line that goes, the first place goes as well
-    gone = classes.select("k1", "k2", "first").join(gone, ["k1", "k2"], "left_semi").select("first.*")
-    out = ws.save(again.union(gone).distinct(), "drops")
-    ws.drop(keyed, classes, near, own, variants)
+    # with its first half shared, a line's edit is in the rest of it, and the other way round
+    low = F.when(F.col("tail"), 1).otherwise(F.floor((F.col("m") - 1) / 2).cast("int") + 1)
+    high = F.when(F.col("head"), F.col("m")).otherwise(F.floor((F.col("m") - 1) / 2).cast("int") + 1)
+    cut = own.select("first", "words", "m", F.explode(F.sequence(low, high)).alias("i")).select(
+        "first", "i", _hash(F.concat(F.slice("words", F.lit(1), F.col("i") - 1), F.slice("words", F.col("i") + 1, F.col("m")))).alias("variant")
+    )
+    cut = ws.save(cut, "variants")
+    whole = own.select(_hash(F.col("words")).alias("variant"), F.col("first").alias("other"))
+    # one replacement: the same variant at the same position, as of the earliest line that has it
+    least = ws.save(cut.groupBy("variant", "i").agg(F.min("first").alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    same = cut.join(_small(least, BROADCAST_LINES), ["variant", "i"]).where("earliest < first").select(F.col("first").alias("line"), "earliest")
+    # one insertion: a line without a word is another line; whichever is later goes
+    both = ws.save(cut.join(_small(whole, BROADCAST_LINES), "variant").select("first", "other"), "insertions")
+    longer = both.where("other < first").select(F.col("first").alias("line"), F.col("other").alias("earliest"))
+    shorter = both.where("first < other").groupBy(F.col("other").alias("line")).agg(F.min("first").alias("earliest"))
+    pairs = same.union(longer).union(shorter).distinct()
+    mine, theirs = own.select(F.col("first").alias("line"), "words"), own.select(F.col("first").alias("earliest"), F.col("words").alias("their"))
+    gone = pairs.join(mine, "line").join(theirs, "earliest").where(_one_edit(F.col("words"), F.col("their"))).select("line").distinct()
+    # of a line that goes, the first place goes as well; the later ones are gone already
+    out = ws.save(again.union(gone.select("line.*")).distinct(), "drops")
+    ws.drop(again, classes, shared, near, own, cut, least, both)
     return out
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast up to so many rows; beyond, the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` without its dropped lines, and ``n_lines``, ``n_dropped`` (columns of these names are replaced)."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
