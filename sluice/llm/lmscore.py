@@ -116,16 +116,18 @@ def fit(marked: DataFrame) -> Models:
     ws = common.Workspace(marked.sparkSession, "lm")
     counts = ws.save(counts, "words")
     total = counts.agg(F.sum("n").alias("n"), F.sum("n_good").alias("g")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
-    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
+    # as Arrow: a row object for each would take the driver's memory many times over
+    column = lambda t, name: t.column(name).to_numpy()
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+    hashes = column(top, "word").astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     vocabulary = np.ascontiguousarray(hashes[order])
     words = np.zeros((len(vocabulary) + 1, 2))
-    words[:-1] = top[["n", "n_good"]].to_numpy(float)[order]
+    words[:-1] = np.stack([column(top, "n"), column(top, "n_good")], axis=1)[order]
     words[-1] = np.array([total["n"] or 0, total["g"] or 0]) - words[:-1].sum(axis=0)
-    got = _cell_counts(marked, vocabulary).toPandas()
-    cells = np.zeros((CELLS, 2))
-    cells[got["cell"].to_numpy(np.int64)] = got[["n", "n_good"]].to_numpy(float)
+    got = _cell_counts(marked, vocabulary).toArrow()
+    cells = np.zeros((CELLS, 2), np.float32)
+    cells[column(got, "cell").astype(np.int64)] = np.stack([column(got, "n"), column(got, "n_good")], axis=1)
     ws.drop(counts)
     return Models(vocabulary, words, cells)
 
