@@ -10,7 +10,7 @@ from sluice.functions import text as T
 from sluice.operators import match
 from sluice.sources.tables import small, table, values, values_sql
 
-# Nations are corpora; the first suppliers of a nation are reference rows, its first customers records.
+# Nations are corpora, suppliers reference rows, customers records; the SQL, and what is compared with it, reads the first of each nation.
 PAIRS = """s AS (SELECT s_nationkey AS corpus, s_suppkey AS gt, s_acctbal AS x FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 6),
 c AS (SELECT c_nationkey AS corpus, c_custkey AS pred, c_acctbal AS y FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 8),
 p AS (SELECT corpus, gt, pred, greatest(0.0, 1 - abs(x - y) / greatest(abs(x), abs(y), 1e-9)) AS score FROM s JOIN c USING (corpus))"""
@@ -20,12 +20,21 @@ def _first(df, part: str, by: str, n: int):
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(part).orderBy(by))).where(F.col("_k") <= n).drop("_k")
 
 
-def pairs(spark, d):
-    s = _first(table(spark, d, "supplier"), "s_nationkey", "s_suppkey", 6).select(F.col("s_nationkey").alias("corpus"), F.col("s_suppkey").alias("gt"), F.col("s_acctbal").alias("x"))
-    c = _first(table(spark, d, "customer"), "c_nationkey", "c_custkey", 8).select(F.col("c_nationkey").alias("corpus"), F.col("c_custkey").alias("pred"), F.col("c_acctbal").alias("y"))
+def _scored(supplier, customer):
+    s = supplier.select(F.col("s_nationkey").alias("corpus"), F.col("s_suppkey").alias("gt"), F.col("s_acctbal").alias("x"))
+    c = customer.select(F.col("c_nationkey").alias("corpus"), F.col("c_custkey").alias("pred"), F.col("c_acctbal").alias("y"))
     return s.join(c, "corpus").select("corpus", "gt", "pred", T.closeness(F.col("x"), F.col("y")).alias("score"))
 
 
+def pairs(spark, d):
+    return _scored(_first(table(spark, d, "supplier"), "s_nationkey", "s_suppkey", 6), _first(table(spark, d, "customer"), "c_nationkey", "c_custkey", 8))
+
+
+def all_pairs(spark, d):
+    """Every supplier of a nation with every customer of it."""
+    return _scored(table(spark, d, "supplier"), table(spark, d, "customer"))
+
+
 @query("c9_scored_pairs", f"WITH {PAIRS} SELECT * FROM p")
 def c9(spark, d):
     return pairs(spark, d)
@@ -33,7 +42,7 @@ def c9(spark, d):
 
 @query("l2_assignment")
 def l2(spark, d):
-    return match.assignment(pairs(spark, d), "corpus")
+    return match.assignment(all_pairs(spark, d), "corpus")
 
 
 BEST = "best AS (SELECT corpus, gt, pred, score FROM p QUALIFY row_number() OVER (PARTITION BY corpus, gt ORDER BY score DESC, pred) = 1)"
@@ -72,7 +81,7 @@ def e17(spark, d):
 @query("e18_weight_sweep")
 def e18(spark, d):
     weights = spark.range(5).select((F.col("id") * 0.25).alias("w"))
-    p = pairs(spark, d).crossJoin(F.broadcast(weights))
+    p = all_pairs(spark, d).crossJoin(F.broadcast(weights))
     blended = p.select(F.concat_ws("@", "corpus", "w").alias("setting"), "gt", "pred", (F.col("w") * F.col("score") + (1 - F.col("w")) * (F.col("gt") % 7 == F.col("pred") % 7).cast("double")).alias("score"))
     return match.assignment(blended, "setting").groupBy("setting").agg(F.round(F.sum("score"), 9).alias("total"), F.count_if(F.col("score") >= 0.6).alias("tp"))
 

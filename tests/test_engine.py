@@ -212,3 +212,24 @@ def test_queries_are_registered_with_matching_names():
 def test_entry_works_without_the_llm_folder(tmp_path):
     code = "import sys; sys.modules['sluice.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and not any(q.startswith('op') for q in e.queries()); assert 'pipeline' not in e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
+
+
+def _nations(spark, d, suppliers, customers):
+    spark.createDataFrame([(k, k % 2, float(7 * k % 90)) for k in range(suppliers)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
+    spark.createDataFrame([(k, k % 2, float(11 * k % 83)) for k in range(customers)], "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{d}/customer.parquet")
+
+
+def _closeness(x, y):
+    return max(0.0, 1 - abs(x - y) / max(abs(x), abs(y), 1e-9))
+
+
+def test_assignment_queries_read_whole_corpora(spark, tmp_path):
+    _nations(spark, tmp_path, 20, 24)
+    got = catalog.QUERIES["l2_assignment"](spark, str(tmp_path)).collect()
+    assert len(got) == 20 and {r.gt for r in got} == set(range(20))
+    sweep = {r.setting: r for r in catalog.QUERIES["e18_weight_sweep"](spark, str(tmp_path)).collect()}
+    for nation in (0, 1):
+        score = [[_closeness(7 * g % 90, 11 * p % 83) for p in range(nation, 24, 2)] for g in range(nation, 20, 2)]
+        best = sum(score[r][c] for r, c in match.assign(score))
+        assert sum(r.score for r in got if r.corpus == nation) == pytest.approx(best)
+        assert sweep[f"{nation}@1.0"].total == pytest.approx(best)
