@@ -8,7 +8,7 @@ from sluice.catalog import query
 from sluice.functions import text as T
 from sluice.operators import control, detect, match
 from sluice.plans import detect_queries as dq
-from sluice.sources.tables import scratch, table
+from sluice.sources.tables import scratch, small, table
 from sluice.streaming import streams
 
 
@@ -57,9 +57,9 @@ def m8(spark, d):
 
 @query("m9_wrong_corpus")
 def m9(spark, d):
-    s = table(spark, d, "supplier").where("s_nationkey < 4").select(F.col("s_nationkey").alias("own"), F.col("s_suppkey").alias("gt"), F.col("s_acctbal").alias("x"))
-    c = table(spark, d, "customer").where("c_nationkey < 4 and c_custkey < 400").select(F.col("c_nationkey").alias("other"), F.col("c_custkey").alias("pred"), F.col("c_acctbal").alias("y"))
-    p = s.join(F.broadcast(c)).where("own <> other").select(F.concat_ws(">", "own", "other").alias("pair"), "gt", "pred", T.closeness(F.col("x"), F.col("y")).alias("score"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("own"), F.col("s_suppkey").alias("gt"), F.col("s_acctbal").alias("x"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("other"), F.col("c_custkey").alias("pred"), F.col("c_acctbal").alias("y"))
+    p = s.join(small(c)).where("own <> other").select(F.concat_ws(">", "own", "other").alias("pair"), "gt", "pred", T.closeness(F.col("x"), F.col("y")).alias("score"))
     return match.assignment(p, "pair").groupBy("pair").agg(F.round(F.sum("score"), 9).alias("total"))
 
 

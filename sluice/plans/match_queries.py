@@ -143,7 +143,10 @@ VOTES = "WITH r AS (SELECT l_linenumber AS run, l_partkey AS rule, l_quantity AS
 
 
 def votes(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    return _votes(table(spark, d, "lineitem").where("l_linenumber <= 3"))
+
+
+def _votes(li):
     return li.select(F.col("l_linenumber").alias("run"), F.col("l_partkey").alias("rule"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_orderkey").alias("id"))
 
 
@@ -163,7 +166,10 @@ AGREE = "(3 * (CASE WHEN abs(a.x - b.x) <= 1 THEN 1.0 ELSE 0 END) + 1 * (CASE WH
 
 
 def _agree(spark, d):
-    v = votes(spark, d).where("rule < 60")
+    return _pairs_of(votes(spark, d).where("rule < 60"))
+
+
+def _pairs_of(v):
     a, b = v.select("rule", *[F.col(c).alias(f"a_{c}") for c in ("id", "run", "x", "y")]), v.select("rule", *[F.col(c).alias(f"b_{c}") for c in ("id", "run", "x", "y")])
     near, same = (F.abs(F.col("a_x") - F.col("b_x")) <= 1).cast("double"), (F.col("a_y") == F.col("b_y")).cast("double")
     return a.join(b, "rule").withColumn("score", (3 * near + same) / 4)
@@ -181,7 +187,9 @@ def l6(spark, d):
 
 @query("l7_greedy_clusters")
 def l7(spark, d):
-    p = _agree(spark, d).where("a_id < b_id").select("rule", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_run").alias("run_a"), F.col("b_run").alias("run_b"), "score")
+    # every run and rule; pairs that can't make or grow a cluster don't go to Python
+    pairs = _pairs_of(_votes(table(spark, d, "lineitem"))).where("a_id < b_id and score >= 0.55 and a_run <> b_run")
+    p = pairs.select("rule", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_run").alias("run_a"), F.col("b_run").alias("run_b"), "score")
     return match.greedy_clusters(p, "rule", 0.55)
 
 

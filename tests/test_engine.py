@@ -233,3 +233,20 @@ def test_assignment_queries_read_whole_corpora(spark, tmp_path):
         best = sum(score[r][c] for r, c in match.assign(score))
         assert sum(r.score for r in got if r.corpus == nation) == pytest.approx(best)
         assert sweep[f"{nation}@1.0"].total == pytest.approx(best)
+
+
+def test_clusters_and_wrong_corpora_read_all_ids(spark, tmp_path):
+    # a rule beyond 60 and a run beyond 3
+    rows = [(1, 5, 900, 10.0, 0.1), (2, 6, 900, 10.0, 0.1), (3, 6, 900, 40.0, 0.2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, catalog.QUERIES["l7_greedy_clusters"](spark, str(tmp_path)).collect())) == [(900, 1, 1), (900, 2, 1)]
+    spark.createDataFrame([(1, 7, 5.0), (2, 8, 6.0)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(900, 8, 5.0), (901, 7, 6.0)], "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(map(tuple, catalog.QUERIES["m9_wrong_corpus"](spark, str(tmp_path)).collect())) == [("7>8", 1.0), ("8>7", 1.0)]
+
+
+def test_ordinals_of_whole_tables(spark, tmp_path):
+    spark.range(100_003).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(100_003).select((2 * F.col("id")).alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    out = catalog.QUERIES["c10_join_by_ordinal"](spark, str(tmp_path))
+    assert out.count() == 100_003 and out.where("2 * c_custkey + s_suppkey <> 2 * 100002").count() == 0
