@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.sources.tables import scratch
+
 #: Fields of a wide table; a schema beyond this isn't one.
 MOST_FIELDS = 2000
 HINTS = ["id", "rule_id", "ruleid", "identifier"]
@@ -71,3 +73,17 @@ def noise_columns(profile: DataFrame) -> DataFrame:
     """Columns that say where a row is from: one value, or few that all look like document labels."""
     few = F.col("distinct") <= F.greatest(F.lit(6), F.floor(F.col("rows") * 0.1))
     return profile.where((F.col("rows") > 1) & (F.col("filled") >= 2) & ((F.col("distinct") == 1) | (few & F.col("labels")))).select("field")
+
+
+def ordinal(df: DataFrame, *order, name: str = "k") -> DataFrame:
+    """Each row's place in the order, from 1; numbered within ranges, so no task holds the table."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = scratch(spark, "ordinal")
+    # written once: ranges come from a sample and could differ between two runs of the plan
+    df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).write.parquet(at)
+    rows = spark.read.parquet(at)
+    before = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = before.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_before")
+    return rows.join(F.broadcast(before), "_p").withColumn(name, place).drop("_p", "_before")

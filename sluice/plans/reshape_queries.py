@@ -256,7 +256,7 @@ def o5(spark, d):
 
 for _name, _sql, _f in [
     ("c10_join_by_ordinal", "SELECT a.c_custkey, b.s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) a JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey DESC) AS k FROM supplier) b USING (k)",
-     lambda s, d: (lambda a, b: a.join(b, "k").select("c_custkey", "s_suppkey"))(*[t.withColumn("k", F.row_number().over(Window.orderBy(o))) for t, o in ((table(s, d, "customer").orderBy("c_custkey").limit(100_000), "c_custkey"), (table(s, d, "supplier").orderBy("s_suppkey").limit(100_000), F.desc("s_suppkey")))])),
+     lambda s, d: reshape.ordinal(table(s, d, "customer").select("c_custkey"), "c_custkey").join(reshape.ordinal(table(s, d, "supplier").select("s_suppkey"), F.desc("s_suppkey")), "k").select("c_custkey", "s_suppkey")),
     ("c11_last_duplicate", "SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY 1", lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"))),
     ("c12_sheet_key", "SELECT doc_id, quality, lang FROM labels JOIN documents USING (doc_id)", lambda s, d: table(s, d, "labels").join(table(s, d, "documents"), "doc_id").select("doc_id", "quality", "lang")),
     ("c13_two_annotators", "SELECT doc_id, quality, toxic FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL", lambda s, d: (lambda l: l.select("doc_id", "quality").join(l.select("doc_id", "toxic"), "doc_id").dropna())(table(s, d, "labels"))),
