@@ -13,7 +13,8 @@ each token and task.  Equal pages of a host count once, so copies don't make a t
 
 The page is parsed once.  Elements and class names that by convention aren't part of an article
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out in any case;
-where no element is marked as the main one, the box with the most text is.
+of several elements marked alike as the main one all are, and where none is marked, the smallest
+box around all other text is.
 
 Defined results: null html, or a page without article text, gives the empty string.  A host of
 fewer than ``SUPPORT`` different pages has no template.  A page without a host belongs to the
@@ -59,6 +60,8 @@ REOPENS = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"
 
 PART = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?][^>]*>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: The end of each raw element; what stands before it isn't markup.
+END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>?", re.I) for tag in RAW}
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -87,14 +90,10 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack: list[tuple[str, str, bool, int]] = []  # tag, path before, left out before, box before
-        path, away, box, text, raw = "", False, 0, [], None
-        for m in PART.finditer(html):
+        path, away, box, text, at = "", False, 0, [], 0
+        while m := PART.match(html, at):
+            at = m.end()
             tag = m[2]
-            if raw is not None:
-                if not (tag and m[1] and tag.lower() == raw):
-                    continue
-                raw = None
-                continue
             if tag is None:
                 s = m[0]
                 if s[0] != "<" or s == "<":
@@ -120,7 +119,8 @@ class Page:
                 continue
             if tag in RAW:
                 if not rest.endswith("/"):
-                    raw = tag
+                    end = END[tag].search(html, at)
+                    at = end.end() if end else len(html)
                 continue
             if tag in REOPENS and stack and stack[-1][0] in REOPENS[tag]:
                 _, path, away, box = stack.pop()
@@ -170,21 +170,12 @@ class Page:
         return names, away, main
 
     def article(self) -> list[int]:
-        """Indices of the blocks of the main element."""
-        size = [0] * len(self.boxes)
-        own = [0] * len(self.boxes)
-        for s, _, b in self.blocks:
-            if b >= 0:
-                own[b] += len(s)
-                for k in self._above(b):
-                    size[k] += len(s)
-        best = max((main for (_, main), n in zip(self.boxes, size) if n), default=0)
-        if best:
-            # of equally sure elements the one with the most text, of nested ones the outermost
-            chosen = max((k for k, (_, main) in enumerate(self.boxes) if main == best), key=lambda k: (size[k], -k))
-        else:
-            chosen = max(range(len(own)), key=lambda k: (own[k], -k))
-        return [k for k, (_, _, b) in enumerate(self.blocks) if b >= 0 and chosen in self._above(b)]
+        """Indices of the blocks of the main elements."""
+        full = {k for _, _, b in self.blocks if b >= 0 for k in self._above(b)}
+        best = max((self.boxes[k][1] for k in full), default=0)
+        # all elements that are equally sure; without any, the smallest box around all text that isn't left out
+        chosen = {k for k in full if self.boxes[k][1] == best} if best else full
+        return [k for k, (_, _, b) in enumerate(self.blocks) if b >= 0 and not chosen.isdisjoint(self._above(b))]
 
 
 PARSED = "key long, page_id long, url string, host string, same long, tokens array<struct<h:bigint,n:int,at:int>>, blocks array<struct<text:string,h:bigint,at:int>>"

@@ -66,3 +66,15 @@ def test_odd_pages(spark):
     assert out[10].n_chars == 200_000 * 5 - 1
     assert out[12].text == "T\nb"
     assert html.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_code_in_raw_elements_is_no_markup():
+    for code in ("for(i=0;i<n;i++){f()}", 'if(a<b)c="x";', "if(a<b)c='", "x='</scripts>';<!-- "):
+        page = html.Page(f"<body><SCRIPT>{code}</Script\n><article><p>one</p><script>{code}</script><p>two</p></article><script>{code}</script></body>")
+        assert [page.blocks[k][0] for k in page.article()] == ["one", "two"], code
+
+
+def test_an_article_in_several_boxes():
+    for parts in ("<div><p>one</p></div><div><p>two two</p></div>", "<section>one</section><div><section>two two</section></div>", "<article>one</article><article>two two</article>"):
+        page = html.Page(f"<body><nav>menu</nav><div>{parts}</div><footer>end</footer></body>")
+        assert [page.blocks[k][0] for k in page.article()] == ["one", "two two"], parts
