@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: glibc's own; other systems keep what they have.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; any path that Spark's readers open will do."""
@@ -54,6 +59,13 @@ class Workspace:
                 remove(self.spark, t.sluice_path)
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system; called between batches."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

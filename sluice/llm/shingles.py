@@ -27,7 +27,8 @@ _power = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of a running hash, and their inverses, ``n`` at least."""
     global _power, _inverse
     if len(_power) < n:
         size = 1 << (n - 1).bit_length()
@@ -56,7 +57,7 @@ def _words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     before[starts[some]] = True
     after[ends[some] - 1] = True
     first, last = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    power, inverse = _powers(n)
+    power, inverse = powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[buf] * power[:n], out=total[1:])
     h = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
