@@ -59,6 +59,13 @@ class Workspace:
                 remove(self.spark, t.sluice_path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until the frame has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system; called between batches."""
     pa.default_memory_pool().release_unused()
@@ -94,6 +101,9 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
     edges = ws.save(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
+    mark = F.xxhash64("u", "v")
+    state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(mark), F.bit_xor(F.xxhash64("v", mark))).first())
+    was = state(edges)
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -102,14 +112,15 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.distinct().join(least, "u")
+            large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*").where("u <> v").distinct()
         )
         after = ws.save(small, "edges")
-        moved = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
         ws.drop(edges)
-        edges = after
-        if not moved:
+        edges, now = after, state(after)
+        # the set of edges is compared by its count and 128 bits of hash; nothing is joined for it
+        if now == was:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+        was = now
