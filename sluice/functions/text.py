@@ -10,7 +10,8 @@ DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2043\u2212\ufe58\ufe63\uff0d"
 SPACES = "\u00a0\u2007\u2009\u202f\u205f\u3000"
 NOTHING = "\u200b\u200c\u200d\u2060\ufeff"
 NUMBER = r"-?\d+\.?\d*"
-STANDALONE = r"(?<![\w.\-])\d+(?:\.\d+)?(?![\w\-]|\.\d)"
+# Fixed value: a number with or without a sign that no letter, digit, underscore or hyphen touches before it, and no letter, digit or underscore behind.
+STANDALONE = r"(?<![A-Za-z0-9_-])-?(?:\d+(?:\.\d*)?|\.\d+)(?![A-Za-z0-9_])"
 NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 

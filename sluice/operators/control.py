@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 import re
 
 import pandas as pd
@@ -10,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sluice.functions.text import NUMBER
+from sluice.functions.text import STANDALONE
 
 
-def draw(seed: int, *keys: str) -> Column:
-    """A pseudo-random number that only hangs on seed and keys."""
-    return F.xxhash64(F.lit(seed), *keys)
+def draw(seed: int, *keys) -> Column:
+    """A pseudo-random order that only hangs on seed and keys: the MD5 of them, which any engine makes alike."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
 
 
 def shifted(df: DataFrame, key: str, value: str, seed: int, group: list[str] | None = None) -> DataFrame:
@@ -46,24 +45,24 @@ def _rewrite(f):
 
 
 def corrupt(text: str) -> str:
-    """Every number x becomes 3x + 7 (M3)."""
-    return re.sub(NUMBER, lambda m: f"{3 * float(m[0]) + 7:.12g}", text)
+    """Every number x that stands alone becomes 3x + 7; identifiers stay (M3)."""
+    return re.sub(STANDALONE, lambda m: f"{3 * float(m[0]) + 7:.12g}", text)
 
 
 def backwards(text: str) -> str:
-    """The numbers of a text in reverse order (M5)."""
-    own = re.findall(NUMBER, text)
-    return re.sub(NUMBER, lambda m: own.pop(), text)
+    """The numbers that stand alone in a text, in reverse order (M5)."""
+    own = re.findall(STANDALONE, text)
+    return re.sub(STANDALONE, lambda m: own.pop(), text)
 
 
-def salad(text: str) -> str:
-    """The words in an order of their own, the same for the same text (M7)."""
-    words = text.split()
-    random.Random(text).shuffle(words)
-    return " ".join(words)
+corrupt_numbers, reverse_numbers = _rewrite(corrupt), _rewrite(backwards)
 
 
-corrupt_numbers, reverse_numbers, word_salad = (_rewrite(f) for f in (corrupt, backwards, salad))
+def word_salad(text: str, seed: int = 0) -> Column:
+    """The words of a text in an order of their own, the same for the same text (M7)."""
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    drawn = F.array_sort(F.transform(words, lambda w, k: F.struct(draw(seed, k, w).alias("d"), w.alias("w"))))
+    return F.array_join(F.transform(drawn, lambda x: x["w"]), " ")
 
 
 def rotated(df: DataFrame, key: str, numbers: str, seed: int) -> DataFrame:
@@ -71,10 +70,14 @@ def rotated(df: DataFrame, key: str, numbers: str, seed: int) -> DataFrame:
     return shifted(df.withColumn("_n", F.size(numbers)), key, numbers, seed, ["_n"]).drop("_n")
 
 
-def padded(df: DataFrame, key: str, numbers: str) -> DataFrame:
-    """Each record's numbers with those of the others that it hasn't (M8); ``df`` is one corpus."""
-    every = df.select(F.explode(numbers).alias("x")).distinct().agg(F.array_sort(F.collect_list("x")).alias("every"))
-    return df.join(F.broadcast(every)).withColumn("padded", F.concat(numbers, F.array_except("every", numbers))).drop("every")
+def padded(df: DataFrame, key: str, numbers: str, corpus: str) -> DataFrame:
+    """Each record's numbers with those of its corpus that it hasn't (M8).
+
+    A corpus's distinct numbers are made by partial sets on every task, and meet its records by an
+    equal join; nothing is gathered over corpora.
+    """
+    every = df.select(corpus, F.explode(numbers).alias("x")).distinct().groupBy(corpus).agg(F.array_sort(F.collect_list("x")).alias("every"))
+    return df.join(every, corpus, "left").withColumn("padded", F.concat(numbers, F.array_except(F.coalesce("every", numbers), numbers))).drop("every")
 
 
 def stratified(df: DataFrame, key: str, strata: list[str], k: int, seed: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -48,15 +49,42 @@ def assign(score: np.ndarray) -> list[tuple[int, int]]:
 
 
 def assignment(pairs: DataFrame, group: str) -> DataFrame:
-    """Optimal pairs of each group of ``pairs(group, gt, pred, score)``; a group is one corpus and run."""
-    kind = pairs.schema[group].dataType.simpleString()
+    """Optimal pairs of each group of ``pairs(group, gt, pred, score)``; a group is one corpus and run.
 
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        m = f.pivot_table(index="gt", columns="pred", values="score", aggfunc="max").fillna(0.0).sort_index().sort_index(axis=1)
-        got = assign(m.to_numpy())
-        return pd.DataFrame({group: f[group].iloc[0], "gt": [int(m.index[r]) for r, _ in got], "pred": [int(m.columns[c]) for _, c in got], "score": [float(m.iat[r, c]) for r, c in got]})
+    Of repeated pairs the best score counts; a pair that isn't there scores 0.
+    """
+    kind = pairs.schema[group].dataType.simpleString()
 
-    return pairs.select(group, F.col("gt").cast("long").alias("gt"), F.col("pred").cast("long").alias("pred"), F.col("score").cast("double").alias("score")).groupBy(group).applyInPandas(solve, f"{group} {kind}, gt long, pred long, score double")
+    def run(batches):
+        for b in batches:
+            who, own, gts, preds, scores = b.column(0), b.column(1), [], [], []
+            at, rows = [], own.offsets.to_numpy()
+            flat = [own.values.field(c).to_numpy(zero_copy_only=False) for c in ("gt", "pred", "score")]
+            for k in range(b.num_rows):
+                g, p, s = (x[rows[k] : rows[k + 1]] for x in flat)
+                left, i = np.unique(g, return_inverse=True)
+                right, j = np.unique(p, return_inverse=True)
+                m = np.zeros((len(left), len(right)))
+                np.maximum.at(m, (i, j), s)
+                got = assign(m)
+                at += [k] * len(got)
+                gts += [left[r] for r, _ in got]
+                preds += [right[c] for _, c in got]
+                scores += [m[r, c] for r, c in got]
+            yield pa.RecordBatch.from_arrays([who.take(pa.array(at, pa.int64())), pa.array(gts, pa.int64()), pa.array(preds, pa.int64()), pa.array(scores, pa.float64())], [group, "gt", "pred", "score"])
+
+    rows = pairs.select(group, F.struct(F.col("gt").cast("long").alias("gt"), F.col("pred").cast("long").alias("pred"), F.col("score").cast("double").alias("score")).alias("_pair"))
+    return rows.groupBy(group).agg(F.collect_list("_pair").alias("pairs")).mapInArrow(run, f"{group} {kind}, gt long, pred long, score double")
+
+
+def places(df: DataFrame, setting: str, value: str) -> DataFrame:
+    """(setting, value, place): the rank of each distinct value of a setting, equal values sharing the lowest.
+
+    Rows are counted per distinct value first, so what is ordered is values, not rows.
+    """
+    n = df.groupBy(setting, value).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(setting).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    return n.select(setting, value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias("place"))
 
 
 def runner_up(pairs: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,7 +97,7 @@ def runner_up(pairs: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame
 def counts(chosen: DataFrame, n_gt: Column, n_pred: Column, threshold: float) -> list[Column]:
     """tp, fp, fn, precision ceiling of accepted pairs (L3)."""
     tp = F.count_if(F.col("score") >= threshold)
-    return [tp.alias("tp"), (F.first(n_pred) - tp).alias("fp"), (F.first(n_gt) - tp).alias("fn"), (F.least(F.first(n_gt), F.first(n_pred)) / F.first(n_pred)).alias("ceiling")]
+    return [tp.alias("tp"), (F.first(n_pred) - tp).alias("fp"), (F.first(n_gt) - tp).alias("fn"), (F.least(F.first(n_gt), F.first(n_pred)) / F.nullif(F.first(n_pred), F.lit(0))).alias("ceiling")]
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> list[Column]:

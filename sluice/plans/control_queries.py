@@ -12,47 +12,59 @@ from sluice.sources.tables import scratch, small, table
 from sluice.streaming import streams
 
 
-@query("m1_derangement", "SELECT count(*) AS n, 0::BIGINT AS fixed, count(DISTINCT s_name) AS names FROM supplier")
+def _drawn(seed: int, *keys: str) -> str:
+    """The SQL of ``control.draw``."""
+    return f"md5('{seed}:' || " + " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ")"
+
+
+def _moved(value: str, seed: int, key: str, group: str = "") -> str:
+    """The SQL of ``control.shifted``: the next value in the drawn order, the first behind the last."""
+    part = f"PARTITION BY {group} " if group else ""
+    w = f"({part}ORDER BY {_drawn(seed, key)}, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"coalesce(lead({value}) OVER {w}, first_value({value}) OVER {w})"
+
+
+@query("m1_derangement", f"SELECT s_suppkey, {_moved('s_name', 42, 's_suppkey')} AS moved FROM supplier")
 def m1(spark, d):
-    m = control.deranged(table(spark, d, "supplier"), "s_suppkey", "s_name", 42)
-    return m.agg(F.count("*").alias("n"), F.count_if(F.col("moved") == F.col("s_name")).alias("fixed"), F.count_distinct("moved").alias("names"))
+    return control.deranged(table(spark, d, "supplier"), "s_suppkey", "s_name", 42).select("s_suppkey", "moved")
 
 
-@query("m2_shuffled_decisions", "SELECT o_orderstatus AS moved, count(*) AS n FROM orders GROUP BY 1")
+@query("m2_shuffled_decisions", f"SELECT o_orderkey, {_moved('o_orderstatus', 7, 'o_orderkey', 'o_orderpriority')} AS moved FROM orders")
 def m2(spark, d):
-    return control.shifted(table(spark, d, "orders"), "o_orderkey", "o_orderstatus", 7, ["o_orderpriority"]).groupBy("moved").agg(F.count("*").alias("n"))
+    return control.shifted(table(spark, d, "orders"), "o_orderkey", "o_orderstatus", 7, ["o_orderpriority"]).select("o_orderkey", "moved")
 
 
-@query("m3_corrupt_numbers", "SELECT p_partkey, (3 * p_size + 7)::VARCHAR AS t FROM part")
+@query("m3_corrupt_numbers", "SELECT p_partkey, 'ST02_SEALING DGT-101: ' || (3 * p_size + 7) || ' bar, 4 and 8.5 or x' || p_size || ', 28C9' AS t FROM part")
 def m3(spark, d):
-    return table(spark, d, "part").select("p_partkey", control.corrupt_numbers(F.col("p_size").cast("string")).alias("t"))
+    t = F.concat(F.lit("ST02_SEALING DGT-101: "), "p_size", F.lit(" bar, -1.0 and .5 or x"), "p_size", F.lit(", 28C9"))
+    return table(spark, d, "part").select("p_partkey", control.corrupt_numbers(t).alias("t"))
 
 
-@query("m4_rotated_numbers", "SELECT n, x, count(*) AS k FROM (SELECT len(l) AS n, unnest(l) AS x FROM (SELECT list(l_quantity) AS l FROM lineitem GROUP BY l_orderkey)) GROUP BY ALL")
+@query("m4_rotated_numbers", f"SELECT l_orderkey, {_moved('l', 3, 'l_orderkey', 'len(l)')} AS moved FROM (SELECT l_orderkey, list_sort(list(l_quantity)) AS l FROM lineitem GROUP BY l_orderkey)")
 def m4(spark, d):
-    r = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("l"))
-    return control.rotated(r, "l_orderkey", "l", 3).select(F.size("moved").alias("n"), F.explode("moved").alias("x")).groupBy("n", "x").agg(F.count("*").alias("k"))
+    r = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("l"))
+    return control.rotated(r, "l_orderkey", "l", 3).select("l_orderkey", "moved")
 
 
-@query("m5_reversed_numbers", "SELECT o_orderkey, o_custkey || ' then ' || o_orderkey AS t FROM orders")
+@query("m5_reversed_numbers", "SELECT o_orderkey, 'T_01 ' || o_custkey || ' then ' || o_orderkey || ' at ST' || o_orderkey AS t FROM orders")
 def m5(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", control.reverse_numbers(F.format_string("%d then %d", "o_orderkey", "o_custkey")).alias("t"))
+    return table(spark, d, "orders").select("o_orderkey", control.reverse_numbers(F.format_string("T_01 %d then %d at ST%d", "o_orderkey", "o_custkey", "o_orderkey")).alias("t"))
 
 
-@query("m6_permuted_categories", "SELECT c_mktsegment AS moved, count(*) AS n FROM customer GROUP BY 1")
+@query("m6_permuted_categories", f"SELECT c_custkey, {_moved('c_mktsegment', 11, 'c_custkey', 'c_nationkey')} AS moved FROM customer")
 def m6(spark, d):
-    return control.shifted(table(spark, d, "customer"), "c_custkey", "c_mktsegment", 11, ["c_nationkey"]).groupBy("moved").agg(F.count("*").alias("n"))
+    return control.shifted(table(spark, d, "customer"), "c_custkey", "c_mktsegment", 11, ["c_nationkey"]).select("c_custkey", "moved")
 
 
-@query("m7_word_salad", r"SELECT item_id, list_sort(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM benchmark")
+@query("m7_word_salad", r"SELECT item_id, array_to_string(list_transform(list_sort(list_transform(range(1, len(w) + 1), lambda i: {'d': md5('0:' || (i - 1) || ':' || w[i]), 'w': w[i]})), lambda x: x.w), ' ') AS t FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)")
 def m7(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_sort(F.split(control.word_salad("text"), " ")).alias("w"))
+    return table(spark, d, "benchmark").select("item_id", control.word_salad("text").alias("t"))
 
 
-@query("m8_padded_numbers", "SELECT p_partkey, (SELECT count(DISTINCT p_size) FROM part) AS n FROM part")
+@query("m8_padded_numbers", "SELECT p_partkey, array_to_string(list_concat([p_size], list_filter(every, lambda x: x <> p_size)), ',') AS padded FROM part JOIN (SELECT p_brand, list_sort(list(DISTINCT p_size)) AS every FROM part GROUP BY 1) USING (p_brand)")
 def m8(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.array("p_size").alias("x"))
-    return control.padded(p, "p_partkey", "x").select("p_partkey", F.size("padded").cast("long").alias("n"))
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.array("p_size").alias("x"))
+    return control.padded(p, "p_partkey", "x", "p_brand").select("p_partkey", F.array_join(F.col("padded").cast("array<string>"), ",").alias("padded"))
 
 
 @query("m9_wrong_corpus")
@@ -63,15 +75,17 @@ def m9(spark, d):
     return match.assignment(p, "pair").groupBy("pair").agg(F.round(F.sum("score"), 9).alias("total"))
 
 
-@query("m11_stratified_sample", "SELECT least(20, count(*)) AS n, 20::BIGINT // 5 AS least_per_stratum FROM orders")
+STRATUM = f"row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_drawn(5, 'o_orderkey')}, o_orderkey)"
+
+
+@query("m11_stratified_sample", f"SELECT o_orderkey, o_orderpriority, turn FROM (SELECT *, {STRATUM} AS turn FROM orders) WHERE turn <= 20 ORDER BY turn, o_orderpriority LIMIT 20")
 def m11(spark, d):
-    s = control.stratified(table(spark, d, "orders"), "o_orderkey", ["o_orderpriority"], 20, 5)
-    return s.groupBy("o_orderpriority").agg(F.count("*").alias("k")).agg(F.sum("k").alias("n"), F.min("k").alias("least_per_stratum"))
+    return control.stratified(table(spark, d, "orders"), "o_orderkey", ["o_orderpriority"], 20, 5).select("o_orderkey", "o_orderpriority", "turn")
 
 
-@query("m12_seeded_draw", "SELECT count(*) AS n, count(DISTINCT c_custkey) AS streams FROM customer")
+@query("m12_seeded_draw", f"SELECT c_custkey, {_drawn(1, 'c_custkey')} AS first, {_drawn(2, 'c_custkey', 'c_name')} AS second FROM customer")
 def m12(spark, d):
-    return table(spark, d, "customer").agg(F.count("*").alias("n"), F.count_distinct(control.draw(1, "c_custkey")).alias("streams"))
+    return table(spark, d, "customer").select("c_custkey", control.draw(1, "c_custkey").alias("first"), control.draw(2, "c_custkey", "c_name").alias("second"))
 
 
 @query("i6_tumbling_windows", "SELECT event_type AS sensor, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, max(value) AS hi FROM events GROUP BY ALL")

@@ -80,11 +80,11 @@ def c4(spark, d):
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max("l_suppkey").alias("supplier"))
 
 
-BIND = "r AS (SELECT c_custkey AS rule, 'Supplier#' || lpad((c_custkey % 150)::VARCHAR, 9, '0') AS sensor FROM customer WHERE c_custkey < 300)"
+BIND = "r AS (SELECT c_custkey AS rule, 'Supplier#' || lpad((c_custkey % 150)::VARCHAR, 9, '0') AS sensor FROM customer)"
 
 
 def _bound(spark, d):
-    r = table(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("rule"), F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % 150).cast("string"), 9, "0")).alias("sensor"))
+    r = table(spark, d, "customer").select(F.col("c_custkey").alias("rule"), F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % 150).cast("string"), 9, "0")).alias("sensor"))
     return r, table(spark, d, "supplier").select(F.col("s_name").alias("sensor"), "s_suppkey")
 
 

@@ -8,95 +8,123 @@ from pyspark.sql import functions as F
 from sluice.catalog import query
 from sluice.functions import text as T
 from sluice.operators import match
-from sluice.sources.tables import small, table, values, values_sql
+from sluice.sources.tables import scratch, small, table, values, values_sql
 
-# Nations are corpora, suppliers reference rows, customers records; the SQL, and what is compared with it, reads the first of each nation.
-PAIRS = """s AS (SELECT s_nationkey AS corpus, s_suppkey AS gt, s_acctbal AS x FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 6),
-c AS (SELECT c_nationkey AS corpus, c_custkey AS pred, c_acctbal AS y FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 8),
-p AS (SELECT corpus, gt, pred, greatest(0.0, 1 - abs(x - y) / greatest(abs(x), abs(y), 1e-9)) AS score FROM s JOIN c USING (corpus))"""
+# An order is a corpus; its lines in turn are reference rows and records, compared by price.
+PAIRS = """l AS (SELECT l_orderkey AS corpus, l_extendedprice AS x, l_returnflag AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_returnflag) AS n FROM lineitem),
+s AS (SELECT corpus, n AS gt, x, kind FROM l WHERE n % 2 = 1), c AS (SELECT corpus, n AS pred, x AS y, kind AS other FROM l WHERE n % 2 = 0),
+p AS (SELECT corpus, gt, pred, greatest(0.0, 1 - abs(x - y) / greatest(abs(x), abs(y), 1e-9)) AS score, (kind = other)::INT::DOUBLE AS alike FROM s JOIN c USING (corpus))"""
+# Every way to pair a corpus, reference row by reference row; the best is the optimal assignment.
+CHOSEN = """o AS (SELECT corpus, gt, pred, score FROM {p} UNION ALL SELECT DISTINCT corpus, gt, 0, 0.0::DOUBLE FROM {p}),
+walk AS (SELECT corpus, -1::BIGINT AS g, 0::BIGINT AS taken, 0.0::DOUBLE AS total, CAST([] AS STRUCT(gt BIGINT, pred BIGINT, score DOUBLE)[]) AS way FROM (SELECT DISTINCT corpus FROM {p})
+  UNION ALL SELECT w.corpus, o.gt, CASE WHEN pred = 0 THEN taken ELSE taken | (1::BIGINT << (pred // 2)::INT) END, total + score, CASE WHEN pred = 0 THEN way ELSE list_append(way, {{'gt': o.gt, 'pred': pred, 'score': score}}) END
+  FROM walk w JOIN o ON o.corpus = w.corpus AND o.gt = w.g + 2 AND (pred = 0 OR (taken >> (pred // 2)::INT) & 1 = 0)),
+chosen AS (SELECT corpus, w.gt AS gt, w.pred AS pred, w.score AS score FROM (SELECT corpus, unnest(arg_max(way, total + len(way) * 1e-9)) AS w FROM walk WHERE (corpus, g) IN (SELECT corpus, max(gt) FROM {p} GROUP BY 1) GROUP BY corpus))"""
+MATCHED = f"WITH RECURSIVE {PAIRS}, {CHOSEN.format(p='p')}"
 
 
-def _first(df, part: str, by: str, n: int):
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(part).orderBy(by))).where(F.col("_k") <= n).drop("_k")
-
-
-def _scored(supplier, customer):
-    s = supplier.select(F.col("s_nationkey").alias("corpus"), F.col("s_suppkey").alias("gt"), F.col("s_acctbal").alias("x"))
-    c = customer.select(F.col("c_nationkey").alias("corpus"), F.col("c_custkey").alias("pred"), F.col("c_acctbal").alias("y"))
-    return s.join(c, "corpus").select("corpus", "gt", "pred", T.closeness(F.col("x"), F.col("y")).alias("score"))
+def sides(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("corpus"), "l_linenumber", F.col("l_extendedprice").alias("x"), F.col("l_returnflag").alias("kind"))
+    li = li.withColumn("n", F.row_number().over(Window.partitionBy("corpus").orderBy("l_linenumber", "x", "kind")).cast("long"))
+    return li.where("n % 2 = 1").select("corpus", F.col("n").alias("gt"), "x", "kind"), li.where("n % 2 = 0").select("corpus", F.col("n").alias("pred"), F.col("x").alias("y"), F.col("kind").alias("other"))
 
 
 def pairs(spark, d):
-    return _scored(_first(table(spark, d, "supplier"), "s_nationkey", "s_suppkey", 6), _first(table(spark, d, "customer"), "c_nationkey", "c_custkey", 8))
+    s, c = sides(spark, d)
+    return s.join(c, "corpus").select("corpus", "gt", "pred", T.closeness(F.col("x"), F.col("y")).alias("score"), (F.col("kind") == F.col("other")).cast("double").alias("alike"))
 
 
-def all_pairs(spark, d):
-    """Every supplier of a nation with every customer of it."""
-    return _scored(table(spark, d, "supplier"), table(spark, d, "customer"))
+def chosen(spark, d):
+    """The optimal pairs of every corpus."""
+    return match.assignment(pairs(spark, d), "corpus")
 
 
-@query("c9_scored_pairs", f"WITH {PAIRS} SELECT * FROM p")
+@query("c9_scored_pairs", f"WITH {PAIRS} SELECT corpus, gt, pred, score FROM p")
 def c9(spark, d):
-    return pairs(spark, d)
+    return pairs(spark, d).drop("alike")
 
 
-@query("l2_assignment")
+@query("l2_assignment", f"{MATCHED} SELECT * FROM chosen")
 def l2(spark, d):
-    return match.assignment(all_pairs(spark, d), "corpus")
-
-
-BEST = "best AS (SELECT corpus, gt, pred, score FROM p QUALIFY row_number() OVER (PARTITION BY corpus, gt ORDER BY score DESC, pred) = 1)"
+    return chosen(spark, d)
 
 
-def best(spark, d):
-    w = Window.partitionBy("corpus", "gt").orderBy(F.desc("score"), "pred")
-    return pairs(spark, d).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+SIZES = "sizes AS (SELECT corpus, count(*) FILTER (WHERE n % 2 = 1) AS n_gt, count(*) FILTER (WHERE n % 2 = 0) AS n_pred FROM l GROUP BY 1)"
 
 
-@query("l3_accepted_pairs", f"WITH {PAIRS}, {BEST} SELECT corpus, tp, n_pred - tp AS fp, n_gt - tp AS fn, least(n_gt, n_pred) / n_pred::DOUBLE AS ceiling FROM (SELECT corpus, count(*) FILTER (WHERE score >= 0.6) AS tp FROM best GROUP BY 1) JOIN (SELECT corpus, count(DISTINCT gt) AS n_gt, count(DISTINCT pred) AS n_pred FROM p GROUP BY 1) USING (corpus)")
+@query("l3_accepted_pairs", f"{MATCHED}, {SIZES} SELECT corpus, tp, n_pred - tp AS fp, n_gt - tp AS fn, least(n_gt, n_pred) / nullif(n_pred, 0)::DOUBLE AS ceiling FROM (SELECT corpus, n_gt, n_pred, count(*) FILTER (WHERE score >= 0.6) AS tp FROM sizes LEFT JOIN chosen USING (corpus) GROUP BY ALL)")
 def l3(spark, d):
-    n = pairs(spark, d).groupBy("corpus").agg(F.count_distinct("gt").alias("n_gt"), F.count_distinct("pred").alias("n_pred"))
-    return best(spark, d).join(n, "corpus").groupBy("corpus").agg(*match.counts(None, F.col("n_gt"), F.col("n_pred"), 0.6))
+    s, c = sides(spark, d)
+    n = s.groupBy("corpus").agg(F.count("*").alias("n_gt")).join(c.groupBy("corpus").agg(F.count("*").alias("n_pred")), "corpus", "left").fillna(0, "n_pred")
+    return n.join(chosen(spark, d), "corpus", "left").groupBy("corpus").agg(*match.counts(None, F.col("n_gt"), F.col("n_pred"), 0.6))
 
 
-@query("l4_audit_rows", f"WITH {PAIRS}, {BEST} SELECT corpus, gt, pred, score, 'pair' AS kind FROM best UNION ALL SELECT DISTINCT corpus, NULL, pred, NULL, 'unpaired record' FROM p WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.corpus = p.corpus AND b.pred = p.pred)")
+@query("l4_audit_rows", f"{MATCHED} SELECT corpus, gt, pred, score, 'pair' AS kind FROM chosen UNION ALL SELECT corpus, NULL, pred, NULL, 'unpaired record' FROM c WHERE (corpus, pred) NOT IN (SELECT corpus, pred FROM chosen) UNION ALL SELECT corpus, gt, NULL, NULL, 'unpaired reference' FROM s WHERE (corpus, gt) NOT IN (SELECT corpus, gt FROM chosen)")
 def l4(spark, d):
-    b = best(spark, d)
-    rest = pairs(spark, d).select("corpus", "pred").distinct().join(b.select("corpus", "pred"), ["corpus", "pred"], "left_anti")
-    return b.withColumn("kind", F.lit("pair")).unionByName(rest.withColumn("kind", F.lit("unpaired record")), allowMissingColumns=True)
+    s, c = sides(spark, d)
+    got = common_pairs(spark, d)
+    rest = c.select("corpus", "pred").join(got, ["corpus", "pred"], "left_anti").withColumn("kind", F.lit("unpaired record"))
+    missed = s.select("corpus", "gt").join(got, ["corpus", "gt"], "left_anti").withColumn("kind", F.lit("unpaired reference"))
+    return got.withColumn("kind", F.lit("pair")).unionByName(rest, allowMissingColumns=True).unionByName(missed, allowMissingColumns=True)
 
 
-@query("e13_runner_up", f"WITH {PAIRS}, {BEST} SELECT b.corpus, b.gt, b.pred, b.score, max(p.score) AS next_score, b.score - max(p.score) AS margin FROM best b JOIN p ON p.corpus = b.corpus AND p.gt = b.gt AND p.pred <> b.pred GROUP BY b.corpus, b.gt, b.pred, b.score")
+def common_pairs(spark, d):
+    """The optimal pairs, solved once and stored for the plans that read them several times."""
+    at = scratch(spark, "pairs")
+    got = chosen(spark, d)
+    got.write.parquet(at)
+    return spark.read.schema(got.schema).parquet(at)
+
+
+@query("e13_runner_up", f"{MATCHED} SELECT b.corpus, b.gt, b.pred, b.score, max(p.score) AS next_score, b.score - max(p.score) AS margin FROM chosen b JOIN p ON p.corpus = b.corpus AND p.gt = b.gt AND p.pred <> b.pred GROUP BY b.corpus, b.gt, b.pred, b.score")
 def e13(spark, d):
-    return match.runner_up(pairs(spark, d), best(spark, d), ["corpus", "gt"])
+    return match.runner_up(pairs(spark, d), chosen(spark, d), ["corpus", "gt"])
+
 
+TOTALS = "totals AS (SELECT sum(n_gt) AS g, sum(n_pred) AS q FROM sizes)"
 
-@query("e17_threshold_curve", f"WITH {PAIRS}, {BEST}, t AS (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS t), n AS (SELECT count(*) AS n FROM best) SELECT t, tp, 2.0 * tp / (n + n) AS f1 FROM (SELECT t, count(*) FILTER (WHERE score >= t) AS tp FROM best, t GROUP BY t), n")
+
+@query("e17_threshold_curve", f"{MATCHED}, {SIZES}, {TOTALS}, t AS (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS t) SELECT t, tp, 2.0 * tp / (g + q)::DOUBLE AS f1 FROM (SELECT t, count(*) FILTER (WHERE score >= t) AS tp FROM chosen, t GROUP BY t), totals")
 def e17(spark, d):
     t = spark.range(11).select((F.col("id") / 10.0).alias("t"))
-    got = best(spark, d).crossJoin(F.broadcast(t)).groupBy("t").agg(F.count_if(F.col("score") >= F.col("t")).alias("tp"), F.count("*").alias("n"))
-    return got.select("t", "tp", (2.0 * F.col("tp") / (F.col("n") + F.col("n"))).alias("f1"))
+    n = table(spark, d, "lineitem").agg(F.count("*").alias("n"))
+    got = chosen(spark, d).crossJoin(F.broadcast(t)).groupBy("t").agg(F.count_if(F.col("score") >= F.col("t")).alias("tp"))
+    return got.crossJoin(F.broadcast(n)).select("t", "tp", (2.0 * F.col("tp") / F.col("n")).alias("f1"))
+
 
+BLENDED = "b AS (SELECT corpus * 10 + w AS corpus, gt, pred, w / 4.0::DOUBLE * score + (1 - w / 4.0::DOUBLE) * alike AS score FROM p, (SELECT unnest(range(0, 5)) AS w))"
 
-@query("e18_weight_sweep")
+
+@query("e18_weight_sweep", f"WITH RECURSIVE {PAIRS}, {BLENDED}, {CHOSEN.format(p='b')}, t AS (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS t) SELECT (corpus % 10) / 4.0::DOUBLE AS w, t, round(sum(score), 5) AS total, count(*) FILTER (WHERE score >= t - 1e-9) AS tp FROM chosen, t GROUP BY 1, 2")
 def e18(spark, d):
-    weights = spark.range(5).select((F.col("id") * 0.25).alias("w"))
-    p = all_pairs(spark, d).crossJoin(F.broadcast(weights))
-    blended = p.select(F.concat_ws("@", "corpus", "w").alias("setting"), "gt", "pred", (F.col("w") * F.col("score") + (1 - F.col("w")) * (F.col("gt") % 7 == F.col("pred") % 7).cast("double")).alias("score"))
-    return match.assignment(blended, "setting").groupBy("setting").agg(F.round(F.sum("score"), 9).alias("total"), F.count_if(F.col("score") >= 0.6).alias("tp"))
+    """Every blend of the two scores is assigned anew; thresholds are swept over its pairs."""
+    weights = spark.range(5).select(F.col("id").alias("w"))
+    share = F.col("w") / 4.0
+    blended = pairs(spark, d).crossJoin(F.broadcast(weights)).select((F.col("corpus") * 10 + F.col("w")).alias("setting"), "gt", "pred", (share * F.col("score") + (1 - share) * F.col("alike")).alias("score"))
+    t = values(spark, "t double", [(0.5,), (0.7,), (0.9,)])
+    got = match.assignment(blended, "setting").crossJoin(F.broadcast(t)).groupBy((F.col("setting") % 10 / 4.0).alias("w"), "t")
+    return got.agg(F.round(F.sum("score"), 5).alias("total"), F.count_if(F.col("score") >= F.col("t") - 1e-9).alias("tp"))
+
 
+# F1 of a corpus and setting, from its pairs and the sizes of both sides.
+F1_SQL = "f AS (SELECT corpus, t, round(2.0 * count(*) FILTER (WHERE score >= t) / (any_value(n_gt) + any_value(n_pred))::DOUBLE, 6) AS f FROM sizes JOIN chosen USING (corpus), (VALUES (0.5), (0.7), (0.9)) v(t) GROUP BY corpus, t)"
 
-@query("e12_rank_per_setting", f"WITH {PAIRS}, {BEST} SELECT corpus, t, f, rank() OVER (PARTITION BY t ORDER BY f DESC) AS place FROM (SELECT corpus, t, round(count(*) FILTER (WHERE score >= t) / count(*)::DOUBLE, 6) AS f FROM best, (VALUES (0.5), (0.7), (0.9)) v(t) GROUP BY corpus, t)")
+
+@query("e12_rank_per_setting", f"{MATCHED}, {SIZES}, {F1_SQL}, r AS (SELECT corpus, t, f, rank() OVER (PARTITION BY t ORDER BY f DESC) AS place FROM f) SELECT corpus, min(place) AS best, max(place) AS worst FROM r GROUP BY corpus")
 def e12(spark, d):
+    """Best and worst place of each corpus; equal values share the lowest place, found from counts of distinct values."""
     t = values(spark, "t double", [(0.5,), (0.7,), (0.9,)]).select(F.col("t").cast("decimal(2,1)").alias("t"))
-    f = best(spark, d).crossJoin(F.broadcast(t)).groupBy("corpus", "t").agg(F.round(F.count_if(F.col("score") >= F.col("t")) / F.count("*"), 6).alias("f"))
-    return f.withColumn("place", F.rank().over(Window.partitionBy("t").orderBy(F.desc("f"))))
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("corpus")).agg(F.count("*").alias("n"))
+    f = chosen(spark, d).crossJoin(F.broadcast(t)).groupBy("corpus", "t").agg(F.count_if(F.col("score") >= F.col("t")).alias("tp"))
+    f = f.join(n, "corpus").select("corpus", "t", F.round(2.0 * F.col("tp") / F.col("n"), 6).alias("f"))
+    ranks = match.places(f, "t", "f")
+    return f.join(ranks, ["t", "f"]).groupBy("corpus").agg(F.min("place").alias("best"), F.max("place").alias("worst"))
 
 
-@query("e14_curve_shape", f"WITH {PAIRS}, {BEST}, g AS (SELECT corpus, t, count(*) FILTER (WHERE score >= t / 10.0) AS n FROM best, (SELECT unnest(range(0, 11)) AS t) GROUP BY corpus, t) SELECT corpus, t, CASE WHEN n > coalesce(p, n) AND n > coalesce(x, n) THEN 'peak' WHEN n = coalesce(p, n) AND n = coalesce(x, n) THEN 'plateau' WHEN n <= coalesce(p, n) AND n >= coalesce(x, n) THEN 'declining' ELSE 'rising' END AS shape FROM (SELECT *, lag(n) OVER w AS p, lead(n) OVER w AS x FROM g WINDOW w AS (PARTITION BY corpus ORDER BY t))")
+@query("e14_curve_shape", f"{MATCHED}, g AS (SELECT corpus, t, count(*) FILTER (WHERE score >= t / 10.0) AS n FROM chosen, (SELECT unnest(range(0, 11)) AS t) GROUP BY corpus, t) SELECT corpus, t, CASE WHEN n > coalesce(p, n) AND n > coalesce(x, n) THEN 'peak' WHEN n = coalesce(p, n) AND n = coalesce(x, n) THEN 'plateau' WHEN n <= coalesce(p, n) AND n >= coalesce(x, n) THEN 'declining' ELSE 'rising' END AS shape FROM (SELECT *, lag(n) OVER w AS p, lead(n) OVER w AS x FROM g WINDOW w AS (PARTITION BY corpus ORDER BY t))")
 def e14(spark, d):
     t = spark.range(11).select(F.col("id").alias("t"))
-    g = best(spark, d).crossJoin(F.broadcast(t)).groupBy("corpus", "t").agg(F.count_if(F.col("score") >= F.col("t") / 10.0).alias("n"))
+    g = chosen(spark, d).crossJoin(F.broadcast(t)).groupBy("corpus", "t").agg(F.count_if(F.col("score") >= F.col("t") / 10.0).alias("n"))
     w = Window.partitionBy("corpus").orderBy("t")
     p, x, n = F.coalesce(F.lag("n").over(w), "n"), F.coalesce(F.lead("n").over(w), "n"), F.col("n")
     return g.select("corpus", "t", F.when((n > p) & (n > x), "peak").when((n == p) & (n == x), "plateau").when((n <= p) & (n >= x), "declining").otherwise("rising").alias("shape"))
@@ -138,16 +166,24 @@ def b23(spark, d):
     return e.where("label = 3").join(F.broadcast(q)).select("query", "vec_id", F.round(match.cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
 
 
-# Runs are line numbers; a rule id is a part, its fields quantity and discount.
-VOTES = "WITH r AS (SELECT l_linenumber AS run, l_partkey AS rule, l_quantity AS x, l_discount AS y, l_orderkey AS id FROM lineitem WHERE l_linenumber <= 3)"
+# Lines fall into three runs; a rule id is a part, its fields quantity and discount.
+VOTES = "WITH r AS (SELECT l_linenumber % 3 AS run, l_partkey AS rule, l_quantity AS x, l_discount AS y, l_orderkey AS id FROM lineitem)"
+# Where pairs are formed, a rule is a part of one supplier, and an order counts once in it.
+CANDIDATES = "WITH r AS (SELECT l_linenumber % 3 AS run, l_partkey * 10000000 + l_suppkey AS rule, max(l_quantity) AS x, max(l_discount) AS y, l_orderkey AS id FROM lineitem GROUP BY ALL)"
 
 
 def votes(spark, d):
-    return _votes(table(spark, d, "lineitem").where("l_linenumber <= 3"))
+    return _votes(table(spark, d, "lineitem"))
 
 
 def _votes(li):
-    return li.select(F.col("l_linenumber").alias("run"), F.col("l_partkey").alias("rule"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_orderkey").alias("id"))
+    return li.select((F.col("l_linenumber") % 3).alias("run"), F.col("l_partkey").alias("rule"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_orderkey").alias("id"))
+
+
+def candidates(spark, d):
+    li = table(spark, d, "lineitem")
+    g = li.groupBy((F.col("l_linenumber") % 3).alias("run"), (F.col("l_partkey") * 10000000 + F.col("l_suppkey")).alias("rule"), F.col("l_orderkey").alias("id"))
+    return g.agg(F.max("l_quantity").alias("x"), F.max("l_discount").alias("y"))
 
 
 @query("d29_run_vote", f"{VOTES} SELECT rule, count(DISTINCT run) AS runs FROM r GROUP BY rule HAVING count(DISTINCT run) >= 2")
@@ -166,7 +202,7 @@ AGREE = "(3 * (CASE WHEN abs(a.x - b.x) <= 1 THEN 1.0 ELSE 0 END) + 1 * (CASE WH
 
 
 def _agree(spark, d):
-    return _pairs_of(votes(spark, d).where("rule < 60"))
+    return _pairs_of(candidates(spark, d))
 
 
 def _pairs_of(v):
@@ -175,12 +211,12 @@ def _pairs_of(v):
     return a.join(b, "rule").withColumn("score", (3 * near + same) / 4)
 
 
-@query("l5_field_agreement", f"{VOTES} SELECT a.rule, a.id AS a_id, b.id AS b_id, ({AGREE})::DOUBLE AS score FROM r a JOIN r b USING (rule) WHERE rule < 60 AND a.id < b.id")
+@query("l5_field_agreement", f"{CANDIDATES} SELECT a.rule, a.id AS a_id, b.id AS b_id, ({AGREE})::DOUBLE AS score FROM r a JOIN r b USING (rule) WHERE a.id < b.id")
 def l5(spark, d):
     return _agree(spark, d).where("a_id < b_id").select("rule", "a_id", "b_id", "score")
 
 
-@query("l6_medoid", f"{VOTES}, s AS (SELECT a.rule, a.id, sum({AGREE})::DOUBLE AS total FROM r a JOIN r b USING (rule) WHERE rule < 60 AND a.id <> b.id GROUP BY ALL) SELECT rule, id AS medoid, total FROM s QUALIFY row_number() OVER (PARTITION BY rule ORDER BY total DESC, id) = 1")
+@query("l6_medoid", f"{CANDIDATES}, s AS (SELECT a.rule, a.id, sum({AGREE})::DOUBLE AS total FROM r a JOIN r b USING (rule) WHERE a.id <> b.id GROUP BY ALL) SELECT rule, id AS medoid, total FROM s QUALIFY row_number() OVER (PARTITION BY rule ORDER BY total DESC, id) = 1")
 def l6(spark, d):
     return match.medoids(_agree(spark, d).where("a_id <> b_id"), "rule", "a_id", "score")
 
@@ -188,7 +224,7 @@ def l6(spark, d):
 @query("l7_greedy_clusters")
 def l7(spark, d):
     # every run and rule; pairs that can't make or grow a cluster don't go to Python
-    pairs = _pairs_of(_votes(table(spark, d, "lineitem"))).where("a_id < b_id and score >= 0.55 and a_run <> b_run")
+    pairs = _agree(spark, d).where("a_id < b_id and score >= 0.55 and a_run <> b_run")
     p = pairs.select("rule", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_run").alias("run_a"), F.col("b_run").alias("run_b"), "score")
     return match.greedy_clusters(p, "rule", 0.55)
 
@@ -239,9 +275,9 @@ def c8(spark, d):
     return both.where("ratio >= 0.72").groupBy("raw").agg(F.max(F.struct("ratio", "zone")).alias("m")).select("raw", "m.zone", F.least(F.round("m.ratio", 6), F.lit(1.0)).alias("ratio"))
 
 
-@query("c24_neighbour_overlap", "WITH n AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), c AS (SELECT s, count(*) AS n FROM n GROUP BY 1) SELECT a.s AS a, b.s AS b, count(*) AS shared, count(*) / any_value(c.n)::DOUBLE AS share FROM n a JOIN n b ON a.p = b.p AND a.s < b.s JOIN c ON c.s = a.s WHERE a.s < 10 AND b.s < 10 GROUP BY a.s, b.s")
+@query("c24_neighbour_overlap", "WITH n AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), c AS (SELECT s, count(*) AS n FROM n GROUP BY 1) SELECT a.s AS a, b.s AS b, count(*) AS shared, count(*) / any_value(c.n)::DOUBLE AS share FROM n a JOIN n b ON a.p = b.p AND a.s < b.s JOIN c ON c.s = a.s GROUP BY a.s, b.s")
 def c24(spark, d):
-    n = table(spark, d, "lineitem").where("l_suppkey < 10").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    n = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     c = n.groupBy("s").agg(F.count("*").alias("n"))
     both = n.toDF("a", "p").join(n.toDF("b", "p"), "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     return both.join(c.toDF("a", "n"), "a").select("a", "b", "shared", (F.col("shared") / F.col("n")).alias("share"))
@@ -256,8 +292,8 @@ def f3(spark, d):
     return j.withColumn("r", F.row_number().over(w)).where("r <= 3").select("doc_id", "item_id", "r")
 
 
-@query("f8_greedy_order", f"{VOTES}, q AS (SELECT a.rule, a.id AS a, b.id AS b, ({AGREE})::DOUBLE AS score FROM r a JOIN r b USING (rule) WHERE rule < 60 AND a.id < b.id) SELECT rule, a, b, row_number() OVER (PARTITION BY rule ORDER BY score DESC, a, b) AS place FROM q WHERE score >= 0.55")
+@query("f8_greedy_order", f"{CANDIDATES}, q AS (SELECT a.rule, a.id AS a, b.id AS b, a.run AS ra, b.run AS rb, ({AGREE})::DOUBLE AS score FROM r a JOIN r b USING (rule) WHERE a.id < b.id) SELECT rule, a, b, row_number() OVER (PARTITION BY rule ORDER BY score DESC, a, b, ra, rb) AS place FROM q WHERE score >= 0.55")
 def f8(spark, d):
     p = _agree(spark, d).where("a_id < b_id and score >= 0.55")
-    w = Window.partitionBy("rule").orderBy(F.desc("score"), "a_id", "b_id")
+    w = Window.partitionBy("rule").orderBy(F.desc("score"), "a_id", "b_id", "a_run", "b_run")
     return p.select("rule", F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.row_number().over(w).alias("place"))

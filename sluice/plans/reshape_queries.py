@@ -114,10 +114,10 @@ def b22(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("b25_confident_first", "SELECT event_id, rank FROM (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS rank FROM events WHERE value >= 150) WHERE rank <= 50")
+@query("b25_confident_first", "SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS rank FROM events WHERE value >= 150")
 def b25(spark, d):
-    top = table(spark, d, "events").where("value >= 150").orderBy(F.desc("value"), "event_id").limit(50)
-    return top.select("event_id", F.row_number().over(Window.orderBy(F.desc("value"), "event_id")).alias("rank"))
+    sure = table(spark, d, "events").where("value >= 150").select("event_id", "value")
+    return reshape.ordinal(sure, F.desc("value"), "event_id").select("event_id", F.col("k").alias("rank"))
 
 
 @query("b26_all_equal", "SELECT conv_id, count(DISTINCT role) = 1 AS same FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")

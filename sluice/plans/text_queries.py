@@ -170,14 +170,15 @@ def h30(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.record_key(F.col("c_mktsegment"), printed, F.array(F.col("c_nationkey"), F.lit(7)), F.col("c_custkey")).alias("k"))
 
 
-@query("h31_record_ids", "SELECT c_custkey, CASE WHEN r = 1 THEN c_mktsegment ELSE upper(substring(c_mktsegment, 1, 12)) || '-' || lpad((r - 1)::VARCHAR, 3, '0') END AS id FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) WHERE r < 900")
+@query("h31_record_ids", "SELECT c_custkey, CASE WHEN r = 1 THEN seg || '/' || nat ELSE upper(substring(seg, 1, 12)) || '-' || printf('%03d', r - 1) END AS id FROM (SELECT c_custkey, c_mktsegment AS seg, c_nationkey AS nat, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS r FROM customer)")
 def h31(spark, d):
+    """A file is a segment of a nation; the first record of a file has its own id."""
     from pyspark.sql import Window
 
-    r = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))
-    seq = F.lpad((F.col("r") - 1).cast("string"), 3, "0")
-    own = F.when(F.col("r") == 1, F.col("c_mktsegment")).otherwise(F.concat(F.upper(F.substring("c_mktsegment", 1, 12)), F.lit("-"), seq))
-    return table(spark, d, "customer").withColumn("r", r).where("r < 900").select("c_custkey", own.alias("id"))
+    r = F.row_number().over(Window.partitionBy("c_mktsegment", "c_nationkey").orderBy("c_custkey"))
+    made = F.concat(F.upper(F.substring("c_mktsegment", 1, 12)), F.lit("-"), F.format_string("%03d", F.col("r") - 1))
+    own = F.when(F.col("r") == 1, F.concat_ws("/", "c_mktsegment", "c_nationkey")).otherwise(made)
+    return table(spark, d, "customer").withColumn("r", r).select("c_custkey", own.alias("id"))
 
 
 @query("h33_span_refs", "SELECT p_partkey, 'part-' || p_partkey || '.txt' AS file, unnest([p_size, p_size + 1]) AS line FROM part")

@@ -148,7 +148,21 @@ def test_controls(spark):
     assert all(r.moved != r.v for r in out) and sorted(r.moved for r in out) == sorted(r.v for r in out)
     assert {tuple(r) for r in control.deranged(df.repartition(5), "k", "v", 42).collect()} == {tuple(r) for r in out}
     assert control.corrupt("5 bar") == "22 bar" and control.backwards("a 1 b 2") == "a 2 b 1"
-    assert sorted(control.salad("x y z").split()) == ["x", "y", "z"]
+    assert control.corrupt("ST02_SEALING DGT-101 -1.0 .5 7. 20°C") == "ST02_SEALING DGT-101 4 8.5 28. 67°C".replace("28. ", "28 ")
+    assert control.backwards("T_01 5 of ST2, -1.5") == "T_01 -1.5 of ST2, 5"
+    salad = spark.createDataFrame([("x y  z",), ("",), (None,)], "t string").select(control.word_salad("t").alias("w")).collect()
+    assert sorted(salad[0].w.split(" ")) == ["x", "y", "z"] and salad[1].w == "" and salad[2].w is None
+    own = spark.createDataFrame([("a", "k", [1, 2]), ("b", "k", [2, 3]), ("c", "m", [9])], "key string, corpus string, x array<int>")
+    assert {r.key: r.padded for r in control.padded(own, "key", "x", "corpus").collect()} == {"a": [1, 2, 3], "b": [2, 3, 1], "c": [9]}
+
+
+def test_standalone_numbers_against_the_pattern(spark):
+    import re
+
+    lines = ["-1.0 and .5 and 7.", "ST02_SEALING DGT-101", "20°C 35%RH x3 3x", "a -4, 5-6 (7) 8_9 .. 1.2.3", "", "--2 +3 1e5"]
+    got = spark.createDataFrame(list(enumerate(lines)), "k int, s string").select("k", T.standalone_numbers(F.col("s")).alias("v")).collect()
+    want = [[float(x) for x in re.findall(r"(?<![A-Za-z0-9_-])-?(?:\d+(?:\.\d*)?|\.\d+)(?![A-Za-z0-9_])", s, re.A)] for s in lines]
+    assert [r.v for r in sorted(got, key=lambda r: r.k)] == want and want[0] == [-1.0, 0.5, 7.0] and want[1] == []
 
 
 def test_repair():
@@ -214,32 +228,29 @@ def test_entry_works_without_the_llm_folder(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
 
 
-def _nations(spark, d, suppliers, customers):
-    spark.createDataFrame([(k, k % 2, float(7 * k % 90)) for k in range(suppliers)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
-    spark.createDataFrame([(k, k % 2, float(11 * k % 83)) for k in range(customers)], "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{d}/customer.parquet")
-
-
-def _closeness(x, y):
-    return max(0.0, 1 - abs(x - y) / max(abs(x), abs(y), 1e-9))
-
-
-def test_assignment_queries_read_whole_corpora(spark, tmp_path):
-    _nations(spark, tmp_path, 20, 24)
-    got = catalog.QUERIES["l2_assignment"](spark, str(tmp_path)).collect()
-    assert len(got) == 20 and {r.gt for r in got} == set(range(20))
-    sweep = {r.setting: r for r in catalog.QUERIES["e18_weight_sweep"](spark, str(tmp_path)).collect()}
-    for nation in (0, 1):
-        score = [[_closeness(7 * g % 90, 11 * p % 83) for p in range(nation, 24, 2)] for g in range(nation, 20, 2)]
-        best = sum(score[r][c] for r, c in match.assign(score))
-        assert sum(r.score for r in got if r.corpus == nation) == pytest.approx(best)
-        assert sweep[f"{nation}@1.0"].total == pytest.approx(best)
+def test_assignment_against_every_permutation(spark):
+    """Groups of several shapes, a pair that is missing, and one that is given twice."""
+    rng, rows, tables = np.random.default_rng(3), [], {}
+    for g in range(30):
+        m = np.round(rng.random((rng.integers(1, 6), rng.integers(1, 6))), 3)
+        tables[g] = m
+        rows += [(g, int(i) * 3, int(j) + 100, float(m[i, j])) for i, j in np.ndindex(m.shape)]
+    rows += [(0, 0, 100, 0.0), (99, 1, 1, 0.5), (99, 2, 2, 0.25)]
+    got = match.assignment(spark.createDataFrame(rows, "corpus long, gt int, pred int, score double"), "corpus").collect()
+    for g, m in tables.items():
+        own = [(r.gt // 3, r.pred - 100, r.score) for r in got if r.corpus == g]
+        wide = m if m.shape[0] <= m.shape[1] else m.T
+        best = max(sum(wide[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(wide.shape[1]), wide.shape[0]))
+        assert len(own) == min(m.shape) == len({r for r, _, _ in own}) == len({c for _, c, _ in own})
+        assert sum(s for _, _, s in own) == pytest.approx(best) and all(m[r, c] == s for r, c, s in own)
+    assert sorted((r.gt, r.pred, r.score) for r in got if r.corpus == 99) == [(1, 1, 0.5), (2, 2, 0.25)]
 
 
 def test_clusters_and_wrong_corpora_read_all_ids(spark, tmp_path):
     # a rule beyond 60 and a run beyond 3
-    rows = [(1, 5, 900, 10.0, 0.1), (2, 6, 900, 10.0, 0.1), (3, 6, 900, 40.0, 0.2)]
-    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert sorted(map(tuple, catalog.QUERIES["l7_greedy_clusters"](spark, str(tmp_path)).collect())) == [(900, 1, 1), (900, 2, 1)]
+    rows = [(1, 5, 900, 7, 10.0, 0.1), (2, 6, 900, 7, 10.0, 0.1), (3, 6, 900, 7, 40.0, 0.2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, catalog.QUERIES["l7_greedy_clusters"](spark, str(tmp_path)).collect())) == [(9000000007, 1, 1), (9000000007, 2, 1)]
     spark.createDataFrame([(1, 7, 5.0), (2, 8, 6.0)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.createDataFrame([(900, 8, 5.0), (901, 7, 6.0)], "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     assert sorted(map(tuple, catalog.QUERIES["m9_wrong_corpus"](spark, str(tmp_path)).collect())) == [("7>8", 1.0), ("8>7", 1.0)]
