@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.sources.tables import small
+
 COLUMNS = {"sensor", "ts", "value"}
 SLICE = "1 day"
 STUCK_TOLERANCE = 1e-6
@@ -49,7 +51,7 @@ def judged(readings: DataFrame, rules: DataFrame) -> DataFrame:
     found = F.transform("rules", lambda r: F.struct(severity(F.col("value"), r["crit_hi"], r["crit_lo"], r["warn_hi"], r["warn_lo"]).alias("severity"), r["rule_id"].alias("rule_id")))
     worst = F.coalesce(*[F.get(F.filter("found", _is(s)), F.lit(0)) for s in ("CRITICAL", "WARNING")])
     return (
-        readings.join(F.broadcast(own), "sensor", "left").withColumn("found", found).withColumn("worst", worst)
+        readings.join(small(own), "sensor", "left").withColumn("found", found).withColumn("worst", worst)
         .select("sensor", "ts", "value", F.col("worst.severity").alias("severity"), F.col("worst.rule_id").alias("rule_id"))
     )
 
@@ -104,7 +106,7 @@ def stuck_alarms(readings: DataFrame, params: DataFrame) -> DataFrame:
         w = order.rowsBetween(-(n - 1), 0)
         readings = readings.withColumn(f"_flat{n}", (F.count("*").over(w) == n) & (F.max("value").over(w) - F.min("value").over(w) < STUCK_TOLERANCE))
         flat = F.when(F.col("n") == n, F.col(f"_flat{n}")).otherwise(flat)
-    out = readings.join(F.broadcast(params), "sensor")
+    out = readings.join(small(params), "sensor")
     return out.where(flat).select("sensor", "ts", "value", "severity", F.lit("stuck").alias("detector"), "rule_id")
 
 
@@ -134,18 +136,19 @@ def drift_alarms(readings: DataFrame, params: DataFrame, ratio: float, cadence_s
         )
         got = own.join(ref, "_rn").where((F.col("_n") >= least_reference) & (F.col("_c") >= 2))
         out = got if out is None else out.unionByName(got)
-    hit = out.join(F.broadcast(params), "sensor").where((F.abs(F.col("_mean") - F.col("_base")) >= F.col("delta")) & (minutes(F.col("ts"), F.col("_from")) >= F.col(span)))
+    hit = out.join(small(params), "sensor").where((F.abs(F.col("_mean") - F.col("_base")) >= F.col("delta")) & (minutes(F.col("ts"), F.col("_from")) >= F.col(span)))
     return hit.select("sensor", "ts", "value", "severity", F.lit("drift").alias("detector"), "rule_id")
 
 
 def sustained_alarms(readings: DataFrame, params: DataFrame) -> DataFrame:
     """Beyond a threshold without a break for long enough, per rule (E4). ``params``: sensor, rule_id, upper, threshold, dur_min, severity."""
-    each = readings.join(F.broadcast(params), "sensor")
+    each = readings.join(small(params), "sensor")
     holds = F.when(F.col("upper"), F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
     runs = run_start(each, ["sensor", "rule_id"], holds)
     return runs.where(minutes(F.col("ts"), F.col("run_start")) >= F.col("dur_min")).select("sensor", "ts", "value", "severity", F.lit("sustained").alias("detector"), "rule_id")
 
 
+# The three forms in which a maintenance condition is written.
 STUCK = r"(?i)stuck\s*[>≥]\s*(\d+)\s*samples"
 DRIFT = r"(?i)drift\s*[>≥]\s*([\d.]+)\s*\S*\s*(?:over|for)\s*[>≥]?\s*(\d+)\+?\s*(min|h)"
 SUSTAINED = r"(?i)([><%≥≤]+)\s*([\d.]+)\s*\S*\s+for\s+[>≥]?\s*(\d+)\s*(min|h)"
@@ -174,17 +177,32 @@ def violation_rates(readings: DataFrame, rules: DataFrame, first_hours: float |
     if first_hours is not None:
         origin = readings.agg(F.min("ts").alias("origin"))
         readings = readings.join(F.broadcast(origin)).where(minutes(F.col("ts"), F.col("origin")) <= first_hours * 60).drop("origin")
-    each = readings.join(F.broadcast(rules), "sensor")
+    each = readings.join(small(rules), "sensor")
     bad = severity(F.col("value"), F.col("crit_hi"), F.col("crit_lo"), F.col("warn_hi"), F.col("warn_lo")).isNotNull()
     return each.groupBy("rule_id").agg(F.avg(bad.cast("double")).alias("rate"), F.count("*").alias("n"))
 
 
+def accepted(readings: DataFrame, rules: DataFrame, most: float = 0.5) -> DataFrame:
+    """The rules without those that more than a share of their readings violate (D3, quarantine)."""
+    out = violation_rates(readings, rules).where(F.col("rate") > most).select("rule_id")
+    return rules.join(out, "rule_id", "left_anti")
+
+
+def all_alarms(readings: DataFrame, rules: DataFrame, stuck: DataFrame, drift: DataFrame, sustained: DataFrame, warning_delay_min: float, ratio: float, cadence_s: float = CADENCE_S) -> DataFrame:
+    """Every detector over the same readings: thresholds of the accepted rules, and the maintenance parameters by kind."""
+    found = threshold_alarms(readings, accepted(readings, rules), warning_delay_min)
+    more = [stuck_alarms(readings, stuck), drift_alarms(readings, drift, ratio, cadence_s, span="span"), sustained_alarms(readings, sustained)]
+    for m in more:
+        found = found.unionByName(m)
+    return found
+
+
 def robust_z(df: DataFrame, key: str) -> DataFrame:
     """(value - median) / (1.4826 MAD) over a key's whole series; else by the deviation, else by one."""
     mid = df.groupBy(key).agg(F.median("value").alias("_mid"), F.stddev_pop("value").alias("_sd"))
-    spread = df.join(F.broadcast(mid), key).groupBy(key).agg(F.median(F.abs(F.col("value") - F.col("_mid"))).alias("_mad"))
+    spread = df.join(mid, key).groupBy(key).agg(F.median(F.abs(F.col("value") - F.col("_mid"))).alias("_mad"))
     scale = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
-    return df.join(F.broadcast(mid.join(spread, key)), key).withColumn("z", (F.col("value") - F.col("_mid")) / scale).drop("_mid", "_sd", "_mad")
+    return df.join(mid.join(spread, key), key).withColumn("z", (F.col("value") - F.col("_mid")) / scale).drop("_mid", "_sd", "_mad")
 
 
 def blocks(df: DataFrame, keys: list[str], gap_s: float) -> DataFrame:
@@ -200,7 +218,7 @@ def correlated(readings: DataFrame, source: str, target: str, above: float, z_be
     """After a block of high source readings, the first long enough run of low target readings."""
     sources = blocks(readings.where((F.col("sensor") == source) & (F.col("value") > above)), ["sensor"], gap_s).select(F.col("start").alias("b0"), F.col("end").alias("b1"))
     low = robust_z(readings.where(F.col("sensor") == target), "sensor").where(F.col("z") < z_below)
-    near = low.join(F.broadcast(sources), (F.col("ts") >= F.col("b0")) & (F.timestamp_diff("MICROSECOND", F.col("b1"), F.col("ts")) <= lag_min * 60e6))
+    near = low.join(small(sources), (F.col("ts") >= F.col("b0")) & (F.timestamp_diff("MICROSECOND", F.col("b1"), F.col("ts")) <= lag_min * 60e6))
     runs = blocks(near, ["sensor", "b0"], gap_s).where(minutes(F.col("end"), F.col("start")) >= least_min)
     first = runs.withColumn("_k", F.row_number().over(Window.partitionBy("sensor", "b0").orderBy("start"))).where("_k = 1")
     return first.select("sensor", F.lit(source).alias("source"), "b0", "start", "end")

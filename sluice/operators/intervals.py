@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.detect import minutes
+from sluice.sources.tables import small
 
 
 def merge_alarms(alarms: DataFrame, gap_min: int = 15) -> DataFrame:
@@ -32,7 +33,7 @@ def overlaps(events: DataFrame, windows: DataFrame) -> Column:
 
 def unmatched(events: DataFrame, windows: DataFrame) -> DataFrame:
     """Events that overlap no window."""
-    return events.join(F.broadcast(windows), overlaps(events, windows), "left_anti")
+    return events.join(small(windows), overlaps(events, windows), "left_anti")
 
 
 def merged(df: DataFrame, keys: list[str], touch: bool = True) -> DataFrame:

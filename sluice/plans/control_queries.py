@@ -111,7 +111,7 @@ def i1(spark, d):
     return spark.read.schema(streams.ALARM).parquet(f"{at}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("i4_stream_events", f'{dq.BASE}, {dq.event_sql()} SELECT sensor, start, "end", n_alarms FROM evs')
+@query("i4_stream_events", f'{dq.CHAIN}, {dq.event_sql()} SELECT sensor, start, "end", n_alarms FROM evs')
 def i4(spark, d):
     a = dq.alarms(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     s = streams.sessions(a, f"{dq.GAP} minutes", "1 hour")

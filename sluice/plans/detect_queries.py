@@ -62,27 +62,39 @@ def params(spark: SparkSession, kind: str) -> DataFrame:
     return detect.maintenance(texts).where(F.col("kind") == kind)
 
 
+def threshold_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.threshold_alarms(readings(spark, sf_dir), rules(spark), DELAY)
+
+
+def plant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of the whole chain; clicks come from a sensor that resolves steps of 40."""
+    return readings(spark, sf_dir).withColumn("value", F.when(F.col("sensor") == "click", F.floor(F.col("value") / 40) * 40.0).otherwise(F.col("value")))
+
+
 def alarms(spark: SparkSession, sf_dir: str, delay: float = DELAY) -> DataFrame:
-    return detect.threshold_alarms(readings(spark, sf_dir), rules(spark), delay)
+    """All detectors over one plant, without the rules that most readings violate."""
+    drift = params(spark, "drift").withColumn("span", F.col("dur_min") * 0.9)
+    return detect.all_alarms(plant(spark, sf_dir), rules(spark, RULES), params(spark, "stuck"), drift, params(spark, "sustained"), delay, RATIO, CADENCE)
 
 
 def events(spark: SparkSession, sf_dir: str, delay: float = DELAY) -> DataFrame:
     return intervals.merge_alarms(alarms(spark, sf_dir, delay), GAP)
 
 
-def alarm_sql(delay: float = DELAY, suffix: str = "") -> str:
+def alarm_sql(delay: float = DELAY, suffix: str = "", source: str = "(SELECT event_type AS sensor, ts, value FROM events)", name: str = "alarms") -> str:
+    """Threshold alarms of a source (sensor, ts, value)."""
     return f"""
-each{suffix} AS (SELECT e.event_type AS sensor, ts, value, {SEVERITY_SQL} AS sev, ord, rule_id FROM events e LEFT JOIN rules r ON e.event_type = r.sensor WHERE value IS NOT NULL AND NOT isnan(value)),
+each{suffix} AS (SELECT e.sensor, ts, value, {SEVERITY_SQL} AS sev, ord, rule_id FROM {source} e LEFT JOIN rules r ON e.sensor = r.sensor WHERE value IS NOT NULL AND NOT isnan(value)),
 worst{suffix} AS (SELECT sensor, ts, value, min(sev) AS severity, arg_min(rule_id, (CASE sev WHEN 'CRITICAL' THEN 0 ELSE 1000 END) + ord) FILTER (WHERE sev IS NOT NULL) AS rule_id FROM each{suffix} GROUP BY sensor, ts, value),
 isl{suffix} AS (SELECT *, sum(CASE WHEN severity IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY sensor ORDER BY ts) AS k FROM worst{suffix}),
 run{suffix} AS (SELECT *, min(CASE WHEN severity IS NOT NULL THEN ts END) OVER (PARTITION BY sensor, k) AS run_start FROM isl{suffix}),
-alarms{suffix} AS (SELECT sensor, ts, value, severity, 'threshold' AS detector, rule_id FROM run{suffix} WHERE severity IS NOT NULL AND date_diff('microsecond', run_start, ts) / 60e6 >= CASE severity WHEN 'CRITICAL' THEN 0 ELSE {delay} END)"""
+{name}{suffix} AS (SELECT sensor, ts, value, severity, 'threshold' AS detector, rule_id FROM run{suffix} WHERE severity IS NOT NULL AND date_diff('microsecond', run_start, ts) / 60e6 >= CASE severity WHEN 'CRITICAL' THEN 0 ELSE {delay} END)"""
 
 
 def event_sql(suffix: str = "") -> str:
     return f"""
 gap{suffix} AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY sensor ORDER BY ts) <= INTERVAL {GAP} MINUTE THEN 0 ELSE 1 END AS fresh FROM alarms{suffix}),
-grp{suffix} AS (SELECT *, sum(fresh) OVER (PARTITION BY sensor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM gap{suffix}),
+grp{suffix} AS (SELECT *, sum(fresh) OVER (PARTITION BY sensor ORDER BY ts) AS g FROM gap{suffix}),
 evs{suffix} AS (SELECT sensor, min(ts) AS start, max(ts) AS "end", min(severity) AS severity, list_sort(list(DISTINCT detector)) AS detectors, list_sort(list(DISTINCT rule_id)) AS rule_ids, count(*) AS n_alarms FROM grp{suffix} GROUP BY sensor, g)"""
 
 
@@ -101,8 +113,45 @@ coverage{suffix} AS (
   FROM windows w LEFT JOIN span{suffix} USING (gt_id) LEFT JOIN cov{suffix} USING (gt_id))"""
 
 
+RATIO, CADENCE = 2.0, 900
 BASE = f"WITH {GOOD_SQL}, {alarm_sql()}"
-FULL = f"{BASE}, {WINDOWS_SQL}, {event_sql()}, {coverage_sql()}"
+
+
+def _stuck_sql(source: str, rule: str = "M-1", sensor: str = "click") -> str:
+    return f"""SELECT sensor, ts, value, 'WARNING' AS severity, 'stuck' AS detector, '{rule}' AS rule_id FROM (
+    SELECT *, count(*) OVER w AS c, max(value) OVER w - min(value) OVER w AS s FROM {source} WHERE sensor = '{sensor}' WINDOW w AS (PARTITION BY sensor ORDER BY ts ROWS 3 PRECEDING)) WHERE c = 4 AND s < 1e-6"""
+
+
+def _drift_sql(rule: str, sensor: str, severity: str, delta: float, width: int) -> str:
+    r = max(1, round(width * RATIO * 60 / CADENCE))
+    return f"""SELECT b.sensor, b.ts, b.value, '{severity}' AS severity, 'drift' AS detector, '{rule}' AS rule_id FROM (
+      SELECT *, count(*) OVER w AS c, avg(value) OVER w AS m, min(ts) OVER w AS f FROM t WHERE sensor = '{sensor}' WINDOW w AS (PARTITION BY sensor ORDER BY ts RANGE BETWEEN INTERVAL {width} MINUTE PRECEDING AND CURRENT ROW)) b,
+      LATERAL (SELECT count(*) AS n, median(x.value) AS base FROM t x WHERE x.sensor = '{sensor}' AND x.rn BETWEEN b.rn - b.c - {r} + 1 AND b.rn - b.c) q
+      WHERE n >= 10 AND c >= 2 AND abs(m - base) >= {delta} AND date_diff('microsecond', f, b.ts) / 60e6 >= {width} * 0.9"""
+
+
+def _sustained_sql(rule: str, sensor: str, severity: str, test: str, minutes: int) -> str:
+    return f"""SELECT sensor, ts, value, '{severity}' AS severity, 'sustained' AS detector, '{rule}' AS rule_id FROM (
+      SELECT *, min(ts) OVER (PARTITION BY k) AS s FROM (SELECT event_type AS sensor, ts, value, value {test} AS v, sum(CASE WHEN value {test} THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS k FROM events WHERE event_type = '{sensor}') WHERE v)
+      WHERE date_diff('microsecond', s, ts) / 60e6 >= {minutes}"""
+
+
+DRIFTS = [("M-2", "view", "WARNING", 8.5, 240), ("M-4", "error", "CRITICAL", 6, 300)]
+SUSTAINS = [("M-3", "purchase", "WARNING", "> 40", 30), ("M-5", "signup", "CRITICAL", "< 60", 60)]
+#: Readings, the rules that stay, and the maintenance alarms, which know no delay.
+PLANT = f"""WITH {RULES_SQL}, plant AS (SELECT event_type AS sensor, ts, CASE WHEN event_type = 'click' THEN floor(value / 40) * 40.0 ELSE value END AS value FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+rules AS (SELECT * FROM all_rules WHERE rule_id NOT IN (SELECT rule_id FROM (SELECT rule_id, {SEVERITY_SQL} AS sev FROM plant JOIN all_rules r USING (sensor)) GROUP BY 1 HAVING avg((sev IS NOT NULL)::INT) > 0.5)),
+t AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY ts) AS rn FROM plant),
+maintained AS ({_stuck_sql("plant")} UNION ALL {" UNION ALL ".join(_drift_sql(*x) for x in DRIFTS)} UNION ALL {" UNION ALL ".join(_sustained_sql(*x) for x in SUSTAINS)})"""
+
+
+def chain_sql(delay: float = DELAY, suffix: str = "") -> str:
+    """All alarms, as ``alarms``."""
+    return f"{alarm_sql(delay, suffix, 'plant', 'limits')}, alarms{suffix} AS (SELECT * FROM limits{suffix} UNION ALL SELECT * FROM maintained)"
+
+
+CHAIN = f"{PLANT}, {chain_sql()}"
+FULL = f"{CHAIN}, {WINDOWS_SQL}, {event_sql()}, {coverage_sql()}"
 
 
 @query("b5_severity", f"WITH {RULES_SQL} SELECT event_id, rule_id, {SEVERITY_SQL} AS severity FROM events e JOIN all_rules r ON e.event_type = r.sensor")
@@ -137,7 +186,7 @@ def d3(spark, d):
 
 @query("e1_threshold_alarms", f"{BASE} SELECT * FROM alarms")
 def e1(spark, d):
-    return alarms(spark, d)
+    return threshold_alarms(spark, d)
 
 
 STUCK_N = 4
@@ -154,20 +203,9 @@ def e2(spark, d):
     return detect.stuck_alarms(coarse, params(spark, "stuck"))
 
 
-RATIO, CADENCE = 2.0, 900
-
-
-def _drift_sql(rule: str, sensor: str, severity: str, delta: float, width: int) -> str:
-    r = max(1, round(width * RATIO * 60 / CADENCE))
-    return f"""SELECT b.sensor, b.ts, b.value, '{severity}' AS severity, 'drift' AS detector, '{rule}' AS rule_id FROM (
-      SELECT *, count(*) OVER w AS c, avg(value) OVER w AS m, min(ts) OVER w AS f FROM t WHERE sensor = '{sensor}' WINDOW w AS (PARTITION BY sensor ORDER BY ts RANGE BETWEEN INTERVAL {width} MINUTE PRECEDING AND CURRENT ROW)) b,
-      LATERAL (SELECT count(*) AS n, median(x.value) AS base FROM t x WHERE x.sensor = '{sensor}' AND x.rn BETWEEN b.rn - b.c - {r} + 1 AND b.rn - b.c) q
-      WHERE n >= 10 AND c >= 2 AND abs(m - base) >= {delta} AND date_diff('microsecond', f, b.ts) / 60e6 >= {width} * 0.9"""
-
-
 @query(
     "e3_drift_alarms",
-    "WITH t AS (SELECT event_type AS sensor, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events) " + _drift_sql("M-2", "view", "WARNING", 8.5, 240) + " UNION ALL " + _drift_sql("M-4", "error", "CRITICAL", 6, 300),
+    "WITH t AS (SELECT event_type AS sensor, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events) " + " UNION ALL ".join(_drift_sql(*x) for x in DRIFTS),
 )
 def e3(spark, d):
     # readings are irregular, so a full window is rare: the span asked for is nine tenths of it
@@ -176,13 +214,7 @@ def e3(spark, d):
     return detect.drift_alarms(readings(spark, d), own, RATIO, CADENCE, span="span")
 
 
-def _sustained_sql(rule: str, sensor: str, severity: str, test: str, minutes: int) -> str:
-    return f"""SELECT sensor, ts, value, '{severity}' AS severity, 'sustained' AS detector, '{rule}' AS rule_id FROM (
-      SELECT *, min(ts) OVER (PARTITION BY k) AS s FROM (SELECT event_type AS sensor, ts, value, value {test} AS v, sum(CASE WHEN value {test} THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS k FROM events WHERE event_type = '{sensor}') WHERE v)
-      WHERE date_diff('microsecond', s, ts) / 60e6 >= {minutes}"""
-
-
-@query("e4_sustained_alarms", " UNION ALL ".join([_sustained_sql("M-3", "purchase", "WARNING", "> 40", 30), _sustained_sql("M-5", "signup", "CRITICAL", "< 60", 60)]))
+@query("e4_sustained_alarms", " UNION ALL ".join(_sustained_sql(*x) for x in SUSTAINS))
 def e4(spark, d):
     return detect.sustained_alarms(readings(spark, d), params(spark, "sustained"))
 
@@ -205,7 +237,7 @@ def e5(spark, d):
     return detect.maintenance(values(spark, "rule_id string, sensor string, condition string, severity string", TEXTS))
 
 
-@query("e6_alarm_events", f'{BASE}, {event_sql()} SELECT sensor, start, "end", severity, detectors, rule_ids, n_alarms FROM evs')
+@query("e6_alarm_events", f'{CHAIN}, {event_sql()} SELECT sensor, start, "end", severity, detectors, rule_ids, n_alarms FROM evs')
 def e6(spark, d):
     return events(spark, d)
 
@@ -250,7 +282,7 @@ def d5(spark, d):
 STRICT = "count(*) FILTER (WHERE status = 'DETECTED') / count(*)::DOUBLE AS recall, count(*) FILTER (WHERE coverage_pct >= 25) / count(*)::DOUBLE AS recall_25, count(*) FILTER (WHERE coverage_pct >= 50) / count(*)::DOUBLE AS recall_50, count(*) FILTER (WHERE latency_min <= 30) / count(*)::DOUBLE AS recall_30min, count(*) FILTER (WHERE latency_min <= 0.25 * length_min) / count(*)::DOUBLE AS recall_quarter"
 
 
-@query("d36_strictness", f"WITH {GOOD_SQL}, {WINDOWS_SQL}, {alarm_sql(5.0, '5')}, {event_sql('5')}, {coverage_sql('5')}, {alarm_sql(0.0, '0')}, {event_sql('0')}, {coverage_sql('0')} SELECT 5.0::DOUBLE AS delay_min, {STRICT} FROM coverage5 UNION ALL SELECT 0.0::DOUBLE AS delay_min, {STRICT} FROM coverage0")
+@query("d36_strictness", f"{PLANT}, {WINDOWS_SQL}, {chain_sql(5.0, '5')}, {event_sql('5')}, {coverage_sql('5')}, {chain_sql(0.0, '0')}, {event_sql('0')}, {coverage_sql('0')} SELECT 5.0::DOUBLE AS delay_min, {STRICT} FROM coverage5 UNION ALL SELECT 0.0::DOUBLE AS delay_min, {STRICT} FROM coverage0")
 def d36(spark, d):
     share = lambda c: F.count_if(c) / F.count("*")
     out = None
