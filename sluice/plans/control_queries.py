@@ -99,16 +99,28 @@ def h28(spark, d):
     return table(spark, d, "part").select("p_partkey", control.corrupt_numbers(F.col("p_retailprice").cast("string")).alias("v"))
 
 
+def _streamed(spark, df, alarms, schema):
+    """What a stream makes of a table's rows: the source is read in files, the sink is a table."""
+    at, kind = scratch(spark, "stream"), "sensor string, ts timestamp, value double"
+    df.select("sensor", F.col("ts").cast("timestamp").alias("ts"), "value").write.parquet(f"{at}/in")
+    source = spark.readStream.schema(kind).parquet(f"{at}/in")
+    run = alarms(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("i1_stream_alarms", f"{dq.BASE} SELECT sensor, ts, value, severity, rule_id FROM alarms")
 def i1(spark, d):
-    """The batch alarms from a stream that reads what there is and stops."""
-    at, schema = scratch(spark, "stream"), "sensor string, ts timestamp, value double"
-    dq.readings(spark, d).select("sensor", F.col("ts").cast("timestamp").alias("ts"), "value").write.parquet(f"{at}/in")
-    source = spark.readStream.schema(schema).parquet(f"{at}/in")
-    alarms = streams.on_delay(detect.judged(source, dq.rules(spark)), dq.DELAY)
-    run = alarms.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(streams.ALARM).parquet(f"{at}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """The batch alarms from a stream that reads what there is and stops."""
+    return _streamed(spark, dq.readings(spark, d), lambda s: streams.on_delay(detect.judged(s, dq.rules(spark)), dq.DELAY), streams.ALARM)
+
+
+@query("i2_stream_maintenance", f"{dq.PLANT} SELECT * FROM maintained")
+def i2(spark, d):
+    """Stuck, drift and sustained alarms from bounded buffers."""
+    drift = dq.params(spark, "drift").withColumn("span", F.col("dur_min") * 0.9)
+    made = lambda s: streams.maintenance(s, dq.params(spark, "stuck"), drift, dq.params(spark, "sustained"), dq.RATIO, dq.CADENCE, span="span")
+    return _streamed(spark, dq.plant(spark, d), made, streams.MAINTAINED)
 
 
 @query("i4_stream_events", f'{dq.CHAIN}, {dq.event_sql()} SELECT sensor, start, "end", n_alarms FROM evs')

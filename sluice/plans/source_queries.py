@@ -8,6 +8,7 @@ from sluice.catalog import query
 from sluice.plans.text_queries import LINES, lines
 from sluice.sources import files
 from sluice.functions import cache
+from sluice.operators import detect
 from sluice.sources.tables import scratch, table, values
 
 
@@ -169,3 +170,71 @@ def o3(spark, d):
 def o4(spark, d):
     m = values(spark, "c_mktsegment string, to string", [("BUILDING", "construction")])
     return table(spark, d, "customer").join(F.broadcast(m), "c_mktsegment", "left").select("c_custkey", F.coalesce("to", "c_mktsegment").alias("category"))
+
+
+@query("a4_marked_csv", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
+def a4(spark, d):
+    """A file that begins with a byte order mark."""
+    at = scratch(spark, "csv")
+    rows = table(spark, d, "nation").select(F.concat_ws(",", "n_nationkey", "n_name").alias("value"))
+    head = values(spark, "value string", [("\ufeffn_nationkey,n_name",)])
+    head.withColumn("k", F.lit(0)).unionByName(rows.withColumn("k", F.lit(1))).repartition(1).sortWithinPartitions("k").select("value").write.text(at)
+    return files.csv(spark, at)
+
+
+@query("a11_first_members", "SELECT n_nationkey || '.zip' AS archive, n_nationkey || '/b.csv' AS member, 'csv' AS ending FROM nation UNION ALL SELECT n_nationkey || '.zip', 'a.TXT', 'txt' FROM nation")
+def a11(spark, d):
+    """An archive for each nation, with two members of one ending; the executors write and read them."""
+    at = scratch(spark, "zip")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"), "n_name")
+    member = lambda name: F.struct(name.alias("member"), F.col("n_name").alias("text"))
+    members = F.array(member(F.concat("k", F.lit("/b.csv"))), member(F.lit("a.TXT")), member(F.lit("c.csv")))
+    files.write_archives(n.select(F.concat("k", F.lit(".zip")).alias("archive"), members.alias("members")), at)
+    return files.archive_members(spark, at)
+
+
+@query("a15_first_row_header", "SELECT r_regionkey, r_name FROM region")
+def a15(spark, d):
+    at = scratch(spark, "csv")
+    files.write_csv(table(spark, d, "region").select("r_regionkey", "r_name"), at)
+    return files.csv(spark, at, infer=True).select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+
+
+@query("a17_discovered_columns", "SELECT s_suppkey::VARCHAR AS k, s_name AS a, '' AS b FROM supplier UNION ALL SELECT c_custkey::VARCHAR, '', c_name FROM customer")
+def a17(spark, d):
+    """Columns are those that any record has; missing cells are empty."""
+    at = scratch(spark, "csv")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("a"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("b"))
+    files.write_csv(s.unionByName(c, allowMissingColumns=True), at)
+    return files.csv(spark, at)
+
+
+@query("a21_replaced_whole", "SELECT r_regionkey + 10 AS k FROM region")
+def a21(spark, d):
+    """A table that is written anew: readers see the old rows or the new ones, never a part."""
+    at, r = scratch(spark, "whole"), table(spark, d, "region")
+    files.replace(r.select(F.col("r_regionkey").alias("k")), at)
+    files.replace(r.select((F.col("r_regionkey") + 10).alias("k")), at)
+    return files.current(spark, at)
+
+
+@query("a22_partial_checkpoints", "SELECT doc_id, length(text) AS n FROM documents")
+def a22(spark, d):
+    """Half of the documents are done by a run that stopped; the next one does the rest and reads all."""
+    at = scratch(spark, "partial")
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    files.resume(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), at, "doc_id")
+    return files.resume(docs, at, "doc_id")
+
+
+@query("b16_leakage_guard", "SELECT count(*) AS n, true AS refused FROM events WHERE value IS NOT NULL AND NOT isnan(value)")
+def b16(spark, d):
+    """Telemetry with a label is refused; without it, it passes."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("sensor"), "ts", "value")
+    try:
+        detect.telemetry(e.withColumn("label", F.lit(1)))
+        refused = False
+    except ValueError:
+        refused = True
+    return detect.telemetry(e).agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))

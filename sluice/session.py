@@ -21,11 +21,12 @@ def session(name: str = "sluice", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors' Python workers this package, once an application."""
+    """Give the executors' Python workers this package, once an application; on one machine they have it."""
     app = spark.sparkContext.applicationId
     root = Path(__file__).resolve().parent
     on_path = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
-    if app not in _shipped and str(root.parent) not in on_path:
+    on_one_machine = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    if app not in _shipped and not on_one_machine and str(root.parent) not in on_path:
         fd, name = tempfile.mkstemp(prefix="sluice-", suffix=".zip")
         os.close(fd)
         with zipfile.ZipFile(name, "w") as z:

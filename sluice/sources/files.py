@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -50,18 +51,24 @@ def grep(lines_: DataFrame, needle: str, column: str = "text") -> DataFrame:
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
     """The first member of each ending in every archive."""
+    found = spark.read.format("binaryFile").load(path)
+    return _first_members(found.select(F.regexp_replace("path", "^.*/", "").alias("archive"), "content"))
 
+
+def _first_members(archives: DataFrame) -> DataFrame:
     def run(frames):
         for f in frames:
             out = []
-            for name, content in zip(f["path"], f["content"]):
+            for name, content in zip(f["archive"], f["content"]):
+                first: dict[str, str] = {}
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    out += [(name.rsplit("/", 1)[-1], n, n.rsplit(".", 1)[-1].lower(), k) for k, n in enumerate(z.namelist()) if not n.endswith("/")]
-            yield pd.DataFrame(out, columns=["archive", "member", "ending", "k"])
+                    for n in z.namelist():
+                        if not n.endswith("/"):
+                            first.setdefault(n.rsplit(".", 1)[-1].lower(), n)
+                out += [(name, n, ending) for ending, n in first.items()]
+            yield pd.DataFrame(out, columns=["archive", "member", "ending"])
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, ending string, k int")
-    w = Window.partitionBy("archive", "ending").orderBy("k")
-    return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("archive", "member", "ending")
+    return archives.mapInPandas(run, "archive string, member string, ending string")
 
 
 def named_parts(df: DataFrame, file: str, pattern: str, names: list[str]) -> DataFrame:
@@ -104,3 +111,61 @@ def report(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows over old ones of the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def write_archives(df: DataFrame, path: str) -> None:
+    """Zip archives, a row each of (archive, members array<struct<member, text>>), as rows of bytes."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for members in f["members"]:
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    for m in members:
+                        z.writestr(m["member"], m["text"])
+                out.append(held.getvalue())
+            yield pd.DataFrame({"archive": f["archive"], "content": out})
+
+    df.mapInPandas(run, "archive string, content binary").write.parquet(path)
+
+
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """As ``zip_members``, of archives that are stored as rows of (archive, content)."""
+    return _first_members(spark.read.schema("archive string, content binary").parquet(path))
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Write a table anew as a whole: into a folder of its own, which a marker then names.
+
+    A run that dies before the marker leaves the old table in force.
+    """
+    spark = df.sparkSession
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{path}/{name}")
+    order = _markers(spark, path)
+    next_ = 1 + (order.agg(F.max("k")).first()[0] or 0) if order is not None else 1
+    spark.createDataFrame([(next_, name)], "k long, name string").write.mode("append").parquet(f"{path}/markers")
+
+
+def _markers(spark: SparkSession, path: str) -> DataFrame | None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/markers")
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema("k long, name string").parquet(f"{path}/markers") if there else None
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that the last marker names."""
+    return spark.read.parquet(f"{path}/{_markers(spark, path).orderBy(F.desc('k')).first()['name']}")
+
+
+def resume(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Append the rows whose key isn't there yet, and return all."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        done = spark.read.schema(df.schema).parquet(path).select(key).distinct()
+        df.join(done, key, "left_anti").write.mode("append").parquet(path)
+    else:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.session import ship
+
 #: Rows up to which a side may be broadcast.
 SMALL_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
@@ -41,5 +43,9 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: under ``spark.checkpoint.dir`` where the session has one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.gettempdir()
     return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

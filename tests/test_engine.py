@@ -261,3 +261,30 @@ def test_ordinals_of_whole_tables(spark, tmp_path):
     spark.range(100_003).select((2 * F.col("id")).alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
     out = catalog.QUERIES["c10_join_by_ordinal"](spark, str(tmp_path))
     assert out.count() == 100_003 and out.where("2 * c_custkey + s_suppkey <> 2 * 100002").count() == 0
+
+
+def test_streamed_maintenance_over_several_batches(spark, tmp_path):
+    """Bounded buffers carry on from batch to batch: the alarms are those of the whole table."""
+    import datetime as dt
+
+    rng, rows = np.random.default_rng(8), []
+    for sensor, step in (("s", 7), ("t", 11)):
+        for k in range(400):
+            rows.append((sensor, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=step * k), float(np.floor(rng.normal(20, 3)) + (12 if 150 < k < 220 else 0))))
+    rows.sort(key=lambda r: r[1])
+    kind = "sensor string, ts timestamp, value double"
+    for k in range(4):
+        spark.createDataFrame(rows[k * 200 : k * 200 + 200], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    stuck = spark.createDataFrame([("A", "s", 3, "WARNING")], "rule_id string, sensor string, n int, severity string")
+    drift = spark.createDataFrame([("B", "s", 4.0, 60, "WARNING", 50.0), ("C", "t", 4.0, 90, "CRITICAL", 70.0)], "rule_id string, sensor string, delta double, dur_min int, severity string, span double")
+    sustained = spark.createDataFrame([("D", "t", True, 24.0, 30, "WARNING"), ("E", "s", False, 19.5, 14, "WARNING")], "rule_id string, sensor string, upper boolean, threshold double, dur_min int, severity string")
+    whole = spark.createDataFrame(rows, kind)
+    want = detect.stuck_alarms(whole, stuck).unionByName(detect.drift_alarms(whole, drift, 2.0, 420.0, span="span")).unionByName(detect.sustained_alarms(whole, sustained))
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    alarms = streams.maintenance(source, stuck, drift, sustained, 2.0, 420.0, span="span")
+    run = alarms.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert len([p for p in run.recentProgress if p["numInputRows"]]) == 4
+    key = lambda r: (r.sensor, r.ts, r.value, r.severity, r.detector, r.rule_id)
+    got, batch = (sorted(map(key, df.collect())) for df in (spark.read.schema(streams.MAINTAINED).parquet(f"{tmp_path}/out"), want))
+    assert got == batch and {x[4] for x in got} == {"stuck", "drift", "sustained"}
