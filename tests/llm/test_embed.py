@@ -49,7 +49,7 @@ def test_against_brute_force(spark):
     check(spark, rows)
 
 
-def test_window_smaller_than_the_table(spark, monkeypatch):
+def test_window_smaller_than_the_table(spark):
     rng = np.random.default_rng(1)
     rows = []
     for g in range(300):
@@ -62,6 +62,23 @@ def test_window_smaller_than_the_table(spark, monkeypatch):
     assert all(r.n_links <= want[r.vec_id][0] for r in got)
 
 
+def test_dense_group_in_many_blocks(spark, capsys):
+    """10000 vectors of one label, most of them in one dense group, with small windows and blocks."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    x = np.vstack([base + 0.25 * rng.standard_normal((7000, 16)), rng.standard_normal((3000, 16))]).astype(np.float32)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(axis=1, keepdims=True))
+    want = np.concatenate([(unit[k : k + 1000] @ unit.T >= 0.93).sum(axis=1) - 1 for k in range(0, len(x), 1000)])
+    df = spark.createDataFrame([(k, v.tolist(), "a") for k, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    got = np.zeros(len(x), int)
+    for r in embed.link(df, window=128, block=1000).collect():
+        got[r.vec_id] = r.n_links
+    assert want.max() > 3000 and (got <= want).all()
+    with capsys.disabled():
+        print(f" recall of links among 10000 vectors of a label: {got.sum() / want.sum():.5f}", end="")
+    assert got.sum() >= 0.999 * want.sum()
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     check(spark, [
