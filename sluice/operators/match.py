@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from sluice.sources.tables import small
+
 
 def assign(score: np.ndarray) -> list[tuple[int, int]]:
     """Pairs with the greatest total score, each row and column at most once (L2).
@@ -115,9 +117,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / F.nullif(size, F.lit(0.0)))
 
 
+def hashed_terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, bucket, weight): how often a text's words fall into each of 256 buckets, scaled to length one (L1).
+
+    Stands in for a sentence encoder: sparse rows instead of vectors.  Equal texts are encoded once.
+    """
+    texts = df.select(F.xxhash64(text).alias("_t"), F.col(text).alias("_s")).dropDuplicates(["_t"])
+    words = texts.select("_t", F.explode(F.regexp_extract_all(F.lower("_s"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    n = words.groupBy("_t", F.substring(F.md5("w"), 1, 2).alias("bucket")).agg(F.count("*").alias("n"))
+    size = n.groupBy("_t").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    unit = n.join(size, "_t").select("_t", "bucket", (F.col("n") / F.col("size")).alias("weight"))
+    return df.select(F.col(key).alias("key"), F.xxhash64(text).alias("_t")).join(unit, "_t").select("key", "bucket", "weight")
+
+
+def sparse_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, score) of all keys that share a bucket, cosine within 0 and 1 (L1)."""
+    both = a.toDF("a", "bucket", "x").join(b.toDF("b", "bucket", "y"), "bucket")
+    dot = F.sum(F.col("x") * F.col("y"))
+    return both.groupBy("a", "b").agg(F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, score: Column, query_id: str, item_id: str) -> DataFrame:
-    """The k best items of each query; the queries are the small side and are broadcast."""
-    both = items.join(F.broadcast(queries)).withColumn("score", score)
+    """The k best items of each query; a small set of queries is broadcast."""
+    both = items.join(small(queries)).withColumn("score", score)
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), item_id)
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, item_id, "score", "rank")
 

@@ -146,6 +146,12 @@ def l1(spark, d):
     return e.join(F.broadcast(q)).select("query", "vec_id", F.round(F.greatest(match.cosine(F.col("q"), F.col("embedding")), F.lit(0.0)), 9).alias("score"))
 
 
+@query("l1_text_cosine", "WITH v AS (SELECT item_id, substr(md5(w), 1, 2) AS k, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY ALL), z AS (SELECT item_id, sqrt(sum(n * n)) AS z FROM v GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(least(greatest(sum(a.n / x.z * (b.n / y.z)), 0.0), 1.0), 9) AS score FROM v a JOIN v b ON a.k = b.k JOIN z x ON x.item_id = a.item_id JOIN z y ON y.item_id = b.item_id GROUP BY 1, 2")
+def l1_text(spark, d):
+    v = match.hashed_terms(table(spark, d, "benchmark"), "item_id", "text")
+    return match.sparse_cosine(v, v).withColumn("score", F.round("score", 9))
+
+
 TOP = f"t AS (SELECT query, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query, b.vec_id, {COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= 5)"
 
 
