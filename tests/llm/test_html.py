@@ -68,13 +68,81 @@ def test_odd_pages(spark):
     assert html.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def alone(text):
+    """The article of a page whose host has no template."""
+    page = html.Page(text)
+    boxes = [{"parent": b.parent, "h": b.h, "main": b.main, "named": b.named} for b in page.boxes]
+    return html.article([{"text": t, "h": page.tokens[at], "box": box} for t, at, box in page.blocks], boxes, set(), None)
+
+
 def test_code_in_raw_elements_is_no_markup():
     for code in ("for(i=0;i<n;i++){f()}", 'if(a<b)c="x";', "if(a<b)c='", "x='</scripts>';<!-- "):
-        page = html.Page(f"<body><SCRIPT>{code}</Script\n><article><p>one</p><script>{code}</script><p>two</p></article><script>{code}</script></body>")
-        assert [page.blocks[k][0] for k in page.article()] == ["one", "two"], code
+        assert alone(f"<body><SCRIPT>{code}</Script\n><article><p>one</p><script>{code}</script><p>two</p></article><script>{code}</script></body>") == ["one", "two"], code
 
 
 def test_an_article_in_several_boxes():
     for parts in ("<div><p>one</p></div><div><p>two two</p></div>", "<section>one</section><div><section>two two</section></div>", "<article>one</article><article>two two</article>"):
-        page = html.Page(f"<body><nav>menu</nav><div>{parts}</div><footer>end</footer></body>")
-        assert [page.blocks[k][0] for k in page.article()] == ["one", "two two"], parts
+        assert alone(f"<body><nav>menu</nav><div>{parts}</div><footer>end</footer></body>") == ["one", "two two"], parts
+
+
+def test_markup_and_names():
+    assert alone("<p data-x=it's>Hello <b>one</b></p><p title='a>b' x = \"'>\">two</p>") == ["Hello one", "two"]
+    for name in ("discussion-point", "search-results-table", "share-price", "notice-period"):
+        assert alone(f"<article><p>a</p><div class={name}>kept</div></article>") == ["a", "kept"], name
+    for name in ("share-buttons", "comments", "cookie-notice", "ad", "big sidebarWidget"):
+        assert alone(f"<article><p>a</p><div class='{name}'>gone</div></article>") == ["a"], name
+    assert alone("<body><div><h1>Head</h1><p>first</p><section>a much longer section of text</section></div></body>") == ["Head", "first", "a much longer section of text"]
+    assert alone("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>") == ["let x=2 be"]
+
+
+def site(rng, n, open_, close):
+    """Pages whose boilerplate has neither telling elements nor names."""
+    rows, want = [], []
+    for k in range(n):
+        paras = [words(rng, rng.randint(10, 40)) for _ in range(rng.randint(2, 5))]
+        teasers = "".join(f"<li><a href=/>{words(rng, 4)}</a></li>" for _ in range(rng.randint(2, 5)))
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        rows.append(f"<body><div class=t0p><p>The daily letter of the valley</p></div>{open_}{body}<p>All rights are with the writers</p>{close}<div class=x7><p>More from here</p><ul>{teasers}</ul></div></body>")
+        want.append("\n".join(paras))
+    return rows, want
+
+
+def test_results_are_worse_without_templates(spark, monkeypatch):
+    """On pages with and without an article element."""
+    rng = random.Random(11)
+    for tags in (("<article>", "</article>"), ("<div class=col>", "</div>")):
+        pages, want = site(rng, 10, *tags)
+        df = spark.createDataFrame([(k, f"http://s.example/{k}", h) for k, h in enumerate(pages)], SCHEMA)
+        got = {r.page_id: r.text for r in html.extract(df).collect()}
+        assert [got[k] for k in range(10)] == want, tags
+        with monkeypatch.context() as m:
+            m.setattr(html, "SUPPORT", 1000)
+            bare = {r.page_id: r.text for r in html.extract(df).collect()}
+        assert all(bare[k] != want[k] for k in range(10)), tags
+
+
+def test_a_box_of_a_name_inside_the_article_needs_the_template(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(8):
+        odd = "<div class=related>see the third part</div>" if k == 3 else ""
+        rows.append((k, f"http://n.example/{k}", f"<body><article><p>{words(rng, 60)}</p>{odd}<div class='share-buttons'>by {words(rng, 2)}</div></article></body>"))
+    got = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [len(got[k]) for k in range(8)] == [1, 1, 1, 2, 1, 1, 1, 1] and got[3][1] == "see the third part"
+
+
+def test_classes_against_brute_force(spark):
+    """Classes from whole occurrence vectors, page by page."""
+    rng = random.Random(13)
+    pages, _ = site(rng, 9, "<article>", "</article>")
+    df = spark.createDataFrame([(k, "http://b.example/", h) for k, h in enumerate(pages)], SCHEMA)
+    got: dict = {}
+    for r in html.templates(html.parse(df)).collect():
+        got.setdefault(r["class"], set()).add(r["h"])
+    counts = [html.Page(h).tokens for h in pages]
+    vectors: dict = {}
+    for h in {t for c in counts for t in c}:
+        vectors.setdefault(tuple(c.count(h) for c in counts), set()).add(h)
+    often = lambda v: sum(x > 0 for x in v)
+    want = [hs for v, hs in vectors.items() if often(v) >= html.SUPPORT and often(v) >= html.SHARE * 9 and len(hs) >= html.SIZE]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and want
