@@ -11,6 +11,8 @@ readings is spread over many tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,28 +117,42 @@ def drift_alarms(readings: DataFrame, params: DataFrame, ratio: float, cadence_s
 
     ``params``: sensor, rule_id, delta, dur_min, severity; a sensor's window is its longest
     duration.  The reference is the last R readings older than the window, R from the window's
-    length; rows are numbered, so the reference is a range of numbers and the join an equal join.
-    ``span`` names the column with the minutes that the recent readings must reach.
+    length.  ``span`` names the column with the minutes that the recent readings must reach.
+
+    One pass: readings lie in slices of time longer than the window, and a slice goes on to the
+    later ones that may need it, the next one and those with fewer than R readings in between.  So
+    a slice meets all it needs, and a sensor of any share spreads over its slices.
     """
-    width = params.groupBy("sensor").agg(F.max("dur_min").alias("width"))
-    widths = {r["sensor"]: float(r["width"]) for r in width.collect()}
-    out = None
-    for sensor, w in sorted(widths.items()):
-        r = max(1, round(w * ratio * 60 / cadence_s))
-        own = readings.where(F.col("sensor") == sensor)
-        order = Window.partitionBy("sensor").orderBy(F.unix_micros(F.col("ts").cast("timestamp")))
-        recent = order.rangeBetween(-int(w * 60e6), 0)
-        behind = order.rowsBetween(Window.unboundedPreceding, 0)
-        own = own.withColumn("_c", F.count("*").over(recent)).withColumn("_mean", F.avg("value").over(recent)).withColumn("_from", F.min("ts").over(recent)).withColumn("_rn", F.count("*").over(behind))
-        numbered = own.select(F.col("sensor").alias("_s"), F.col("_rn").alias("_k"), F.col("value").alias("_v"))
-        ref = (
-            own.select("sensor", "_rn", "_c", F.explode(F.sequence(F.greatest(F.col("_rn") - F.col("_c") - r + 1, F.lit(1)), F.greatest(F.col("_rn") - F.col("_c"), F.lit(1)))).alias("_k"))
-            .where(F.col("_k") <= F.col("_rn") - F.col("_c")).join(numbered, "_k")
-            .groupBy("_rn").agg(F.count("*").alias("_n"), F.median("_v").alias("_base"))
-        )
-        got = own.join(ref, "_rn").where((F.col("_n") >= least_reference) & (F.col("_c") >= 2))
-        out = got if out is None else out.unionByName(got)
-    hit = out.join(small(params), "sensor").where((F.abs(F.col("_mean") - F.col("_base")) >= F.col("delta")) & (minutes(F.col("ts"), F.col("_from")) >= F.col(span)))
+    width = params.groupBy("sensor").agg(F.max("dur_min").cast("double").alias("_w"))
+    width = width.withColumn("_r", F.greatest(F.round(F.col("_w") * ratio * 60 / cadence_s).cast("long"), F.lit(1).cast("long")))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = readings.join(small(width), "sensor").withColumn("_slice", F.floor(at / (F.col("_w") * (1 + ratio) * 60e6)).cast("long"))
+    order = Window.partitionBy("sensor").orderBy("_slice")
+    # rows so far in millionths of R; the frame begins a little late, which only adds rows that aren't looked at
+    slices = own.groupBy("sensor", "_slice", "_r").agg(F.count("*").alias("_n"))
+    slices = slices.withColumn("_k", F.row_number().over(order)).withColumn("_c", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) * 1_000_000 / F.col("_r"))
+    slices = slices.withColumn("_c", F.floor("_c").cast("long"))
+    beyond = Window.partitionBy("sensor").orderBy("_c").rangeBetween(1_000_001, Window.unboundedFollowing)
+    every = F.max("_k").over(Window.partitionBy("sensor"))
+    slices = slices.withColumn("_last", F.least(F.greatest(F.coalesce(F.min("_k").over(beyond), every), F.col("_k")) + 1, every))
+    placed = own.join(slices.select("sensor", "_slice", "_k", "_last"), ["sensor", "_slice"]).withColumn("_at", F.explode(F.sequence("_k", "_last")))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("ts", kind="stable")
+        ts, v = f["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), f["value"].to_numpy(float)
+        low = np.searchsorted(ts, ts - int(f["_w"].iloc[0] * 60e6))
+        size, mean, base = int(f["_r"].iloc[0]), np.full(len(v), np.nan), np.full(len(v), np.nan)
+        for k in np.flatnonzero((f["_k"] == f["_at"]).to_numpy()):
+            first = max(0, low[k] - size)
+            if low[k] - first >= least_reference and k > low[k]:
+                mean[k], base[k] = v[low[k] : k + 1].mean(), np.median(v[first : low[k]])
+        out = f[["sensor", "ts", "value"]].assign(_delta=np.abs(mean - base), _span=(ts - ts[low]) / 60e6)
+        return out[~np.isnan(mean)]
+
+    kind = ", ".join(f"{c} {readings.schema[c].dataType.simpleString()}" for c in ("sensor", "ts", "value"))
+    placed = placed.select("sensor", "ts", F.col("value").cast("double").alias("value"), "_w", "_r", "_k", "_at")
+    got = placed.groupBy("sensor", "_at").applyInPandas(run, f"{kind}, _delta double, _span double")
+    hit = got.join(small(params), "sensor").where((F.col("_delta") >= F.col("delta")) & (F.col("_span") >= F.col(span)))
     return hit.select("sensor", "ts", "value", "severity", F.lit("drift").alias("detector"), "rule_id")
 
 
