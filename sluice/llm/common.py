@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.session import ship
+
 #: glibc's own; other systems keep what they have.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; any path that Spark's readers open will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"sluice-{uuid.uuid4().hex[:8]}")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -36,7 +40,7 @@ class Workspace:
     """Tables written under the shared folder; they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = ship(spark)
         self.at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
@@ -66,6 +70,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def tasks(rows: int, each: int = 50_000) -> int:
+    """Tasks for so many rows."""
+    return rows // each + 1
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system; called between batches."""
     pa.default_memory_pool().release_unused()
@@ -98,9 +107,11 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
     of the links costs one row per task, and the joins back are split by the adaptive planner.
     Nodes without a link to another node are absent.  Null ends and self links are ignored.
     """
-    edges = ws.save(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    # as many tasks as the edges are worth, whatever the number of shuffle partitions
+    n = tasks(2 * links.count())
+    few = lambda df: df.coalesce(n)
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = ws.save(few(edges), "edges")
     mark = F.xxhash64("u", "v")
     state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(mark), F.bit_xor(F.xxhash64("v", mark))).first())
     was = state(edges)
@@ -110,13 +121,14 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
         large = (
             both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         )
+        large = few(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            few(large.join(least, "u"))
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*").where("u <> v").distinct()
         )
-        after = ws.save(small, "edges")
+        after = ws.save(few(small), "edges")
         ws.drop(edges)
         edges, now = after, state(after)
         # the set of edges is compared by its count and 128 bits of hash; nothing is joined for it
