@@ -15,6 +15,8 @@ words around them and the adaptive planner splits frequent words.
 Defined results: null text has no words; items without words or without an id have no windows;
 items that share an id count as one; rows that share doc_id and text get equal rows; an item's
 window repeated in it or in other items is one window of all of them.  No items: nothing is hit.
+Very long texts are compared whole.  Ties: of words equally rare in a window the least leads,
+which changes no result.  Repeated rows give repeated rows, an empty table an empty result.
 Extra columns are ignored.
 """
 
@@ -120,9 +122,10 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
     found, _, _ = hits(docs, common.read(spark, sf_dir, "benchmark"))
-    bad = found.where("at is not null").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    own, text_mark = common.fresh(docs, "hit_id"), common.fresh(docs, "hit_mark")
+    bad = found.where("at is not null").select(F.col("doc_id").alias(own), F.col("mark").alias(text_mark)).distinct()
     mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(own)) & (mark == F.col(text_mark)), "left_anti")
 
 
 ORACLE = r"""

@@ -2,7 +2,8 @@
 
 Lines are compared as sequences of words (split at single spaces).  The bound is one edit of a
 word - put in, left out or replaced - for lines of ``NEAR_WORDS`` words or more, and no edit for
-lines of ``LEAST_WORDS`` or more; shorter lines always stay.  A line goes if an earlier line is
+lines of ``LEAST_WORDS`` or more; shorter lines (rulings, greetings, items of lists) say too
+little to be called copies and always stay.  A line goes if an earlier line is
 equal or within the bound; earlier means less (doc_id, hash of the text, line number).
 
 Every distinct line stands for its first place.  Its variants are itself and itself without one
@@ -17,9 +18,10 @@ its last half (cut for its own length or for a partner one word shorter) with an
 line; one edit leaves one half untouched, so this loses nothing.
 
 Defined results: null text stays null and has no lines; lines are what stands between line
-feeds; a text that loses all its lines becomes empty.  Rows with equal doc_id and text are at the
+feeds; a text that loses all its lines becomes empty.  Very long texts and lines are compared
+whole.  Ties: of equal lines the one at the earliest place stays.  Rows with equal doc_id and text are at the
 same place, so none of them is the later one.  Null doc_id comes before all others.  Empty
-table: empty result.  Other columns pass through.  Equality of whole lines rests on 128 bits of
+table: empty result.  Other columns pass through, whatever their names.  Equality of whole lines rests on 128 bits of
 hash.
 """
 
@@ -124,17 +126,21 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` without its dropped lines, and ``n_lines``, ``n_dropped`` (columns of these names are replaced)."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    gone = drops(docs).groupBy("doc_id", "mark").agg(F.collect_set("at").alias("ats")).toDF("g_doc", "g_mark", "g_ats")
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col("text").cast("string")).alias("g_own"))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("g_own") == F.col("g_mark")), "left")
+    """``docs`` without its dropped lines, and ``n_lines``, ``n_dropped``.
+
+    A column of docs that has one of these names stays; the new one gets underscores until it is new.
+    """
+    names = docs.columns
+    g_doc, g_mark, g_ats, g_own = (common.fresh(docs, c) for c in ("g_doc", "g_mark", "g_ats", "g_own"))
+    gone = drops(docs.select("doc_id", "text")).groupBy("doc_id", "mark").agg(F.collect_set("at").alias("ats")).toDF(g_doc, g_mark, g_ats)
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col("text").cast("string")).alias(g_own))
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(g_doc)) & (F.col(g_own) == F.col(g_mark)), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
-    kept = F.filter(lines, lambda line, k: ~F.array_contains("g_ats", k))
-    text = F.when(F.col("g_ats").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda line, k: ~F.array_contains(g_ats, k))
+    text = F.when(F.col(g_ats).isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("g_ats"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(common.fresh(docs, "n_lines")), F.coalesce(F.size(g_ats), F.lit(0)).cast("long").alias(common.fresh(docs, "n_dropped")),
     )
 
 
@@ -144,9 +150,10 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; documents of which nothing is left go."""
-    out = clean(docs).where("n_dropped = 0 or length(text) > 0")
+    dropped = F.col(common.fresh(docs, "n_dropped"))
+    out = clean(docs).where((dropped == 0) | (F.length("text") > 0))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(dropped > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -13,6 +13,8 @@ while what is gathered grows with the input.
 Defined results: no words: 0 tokens, losses and score 0.  Rows share a label by doc_id; an id
 with several labels counts as good if one says so.  Without good documents both models are the
 same smoothed one on the target's side, and scores still come out.  Null doc_id has no label.
+Very long texts count whole.  Ties: of equally frequent words at the vocabulary's border those of
+the lesser hash belong to it.
 Repeated rows count and are returned as often as they stand.  Extra columns are ignored.
 """
 

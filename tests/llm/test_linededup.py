@@ -38,7 +38,7 @@ def check(spark, rows):
         ls = [] if t is None else t.split("\n")
         keep = [s for k, s in enumerate(ls) if (i if i is not None else -1, k) not in gone]
         want.append((i, None if t is None else "\n".join(keep), len(ls), len(ls) - len(keep)))
-    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=str) == sorted(want, key=str)
+    assert sorted(((r.doc_id, r.text, r.n_lines_, r.n_dropped) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_against_brute_force(spark):
