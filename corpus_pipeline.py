@@ -10,6 +10,14 @@ line dedup         takes out lines that an earlier document, or line, has, at mo
 MinHash            keeps one document of each group of near copies
 decontamination    drops documents that hold a passage of a benchmark item
 BPE                the digest of each document's tokens and of the text decoded from them
+
+Defined results: null and empty texts have no letter and go in the first stage, so do texts of
+digits and signs alone.  Very long texts pass through every stage whole.  Ties: of equal lines
+the earliest place stays, of a group of near copies the least doc_id; of rows that share doc_id
+and text one stays, and rows that share an id alone stay or go together.  A null doc_id is an id
+of its own: such rows are compared by line and by passage, but not as near copies.  Empty tables
+give empty results at every stage.  Extra columns pass through all stages but the last, whatever
+their names.
 """
 
 from __future__ import annotations
