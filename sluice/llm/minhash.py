@@ -6,21 +6,24 @@ made, each of ``DEPTH`` minhashes; every pair (one half key from each) is a tabl
 table with a probability of 7e-5 for 0.85 and 6e-4 for 0.80.
 
 Equal sets are one class from the start.  A class has a row for each table; rows alone in their
-bucket go at once.  The others are united in rounds.  A round sorts the rows by bucket, then by
-the bytes of further minhashes, in another order for each table and round, and proposes for
-every row the first of its bucket and the ``NEIGHBOURS`` rows before it, if those belong to
-other components than its own.  Proposals must pass the ratio of set sizes, agree in enough
-minhashes (a true link fails with a probability below 1e-4), and are then confirmed on the full
-sets, made again from both texts.
-Confirmed links are united, and the next round sees the new components; the first takes only
-``SIDES`` of the tables.  No pair is confirmed twice, and rounds go on
-until fewer than one in 1 / ``YIELD`` of a round's new proposals is a link.  So the proposals of a round grow
-with the rows, not with the square of a bucket, and of a large group almost all is one component
-after the first round.  A sort splits a bucket of any size over tasks; where a bucket goes on in
-the next task, the rows at the border are brought together and proposed in the same way.
-
-What can be missed: a linked pair that shares no table, and a pair of which neither the two nor
-any chain of compared links between them were proposed before the rounds ended.
+bucket go at once.  Most of a group is united first, cheaply: ``SIDES`` of the tables are sorted
+by bucket, then by the bytes of further minhashes, and each row is proposed with the first of its
+bucket and the ``NEIGHBOURS`` rows before it.  A sort splits a bucket of any size over tasks; the
+rows at the borders are brought together and proposed in the same way.  This proposes in
+proportion to the rows, and what it leaves out the second step finds.
+
+The second step takes every bucket of every table that holds more than one component and compares
+all its pairs of different components: those that pass the ratio of set sizes and agree in enough
+minhashes (a true link fails with a probability below 1e-4) are candidates.  What candidates
+connect is a cluster; in a cluster all pairs of different components are compared by their full
+sets, made again from the texts, with products of 0/1 matrices that count common shingles.
+Nothing is capped and no round is left out.  A large bucket or cluster is dealt into blocks of
+about ``BLOCK`` rows, and blocks meet in pairs; the blocks of its largest component don't meet
+each other.  So where most of a group is one component, rows grow with the group, times its rows
+outside that component; a group without any links costs its square, in blocks.  Neither
+candidates nor links of a block become rows each: a block gives the edges of a spanning forest.
+
+What can be missed: a linked pair that shares no table, or that agrees in too few minhashes.
 
 Defined results: null text, or text without words: n_shingles 0, linked with nothing.  Very long
 texts are cut into words segment by segment; their sets are whole.  Ties: of a group the least
@@ -39,13 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import common, embed, shingles
 
 WIDTH, SIDES, DEPTH = 5, 8, 2
-#: Rows of a bucket, just before it in the bucket's order, with which one is compared in the first round and later.
-NEIGHBOURS = 2, 6
-#: Share of links among a round's new proposals below which no further round is made.
-YIELD = 1e-4
+#: Rows of a bucket, just before it in the bucket's order, with which one is compared in the first step.
+NEIGHBOURS = 2
+#: Rows and bytes of text of a block; larger buckets and clusters are compared by pairs of blocks.
+BLOCK, BYTES_OF_BLOCK = 128, 1 << 24
+#: Groups of rows up to which their pairs are made by shifts, without a matrix; rows and columns of a matrix in work.
+FEW, STRIPE, COLUMNS = 9, 64, 4096
 #: A link is 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: The pipeline's stage has no contract of its own and takes the usual 0.8.
@@ -202,28 +207,170 @@ def _proposals(ordered: DataFrame, percent: int, neighbours: int) -> DataFrame:
     return ordered.mapInArrow(run, ", ".join(f"{c} long" for c in ["a", "b", *ROW]))
 
 
-def _round(ws: common.Workspace, live: DataFrame, found: DataFrame, k: int, percent: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) that round ``k`` proposes; ``found`` is the component of each linked class so far."""
+def _first(ws: common.Workspace, live: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Pairs (a, b) that the first step proposes."""
     parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    comp, near = F.col("rep"), NEIGHBOURS[min(k, 1)]
-    if k:
-        live = live.join(found, F.col("rep") == F.col("node"), "left")
-        comp = F.coalesce("component", "rep")
     table = F.col("key").bitwiseAND(SIDES * SIDES - 1).cast("int")
-    if k == 0:
-        live = live.where(table % (SIDES + 1) == 0)
-    word, turn = (table + k) % len(BYTES), (table + 3 * k) % 7 + 1
+    word, turn = table % len(BYTES), table % 7 + 1
     low = F.element_at(F.array(*BYTES), word + 1)
     place = F.call_function("shiftleft", low, 8 * turn).bitwiseOR(F.call_function("shiftrightunsigned", low, 64 - 8 * turn))
-    rows = live.select("key", place.alias("place"), "rep", comp.alias("comp"), "n", *BYTES)
+    rows = live.where(table % (SIDES + 1) == 0).select("key", place.alias("place"), "rep", F.col("rep").alias("comp"), "n", *BYTES)
     order = ["key", "place", "rep"]
-    made = ws.save(_proposals(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), percent, near).coalesce(tasks), "proposals")
+    made = ws.save(_proposals(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), percent, NEIGHBOURS).coalesce(tasks), "proposals")
     # a few rows from each task: where a bucket goes on in the next one
     border = made.where("key is not null").select(*ROW).distinct().coalesce(1).sortWithinPartitions(*order)
-    pairs = made.select("a", "b").union(_proposals(border, percent, near).select("a", "b")).where("a is not null").distinct()
+    pairs = made.select("a", "b").union(_proposals(border, percent, NEIGHBOURS).select("a", "b")).where("a is not null").distinct()
     return ws.save(pairs.coalesce(tasks), "pairs")
 
 
+def _blocked(rows: DataFrame, group: str) -> DataFrame:
+    """``rows(group, comp, rep, size, ...)`` of groups with several components, dealt into the pairs of blocks that must meet.
+
+    A pair of blocks has one (g1, g2); ``one`` if it is a block with itself, ``second`` for rows of the second block.
+    """
+    each = rows.groupBy(group, "comp").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
+    whole = each.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("comps"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "comp")).alias("top"))
+    need = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BYTES_OF_BLOCK), F.lit(1)).cast("int")
+    split = need(F.col("m"), F.col("s")) > 1
+    whole = whole.where("comps > 1").select(
+        "of", F.col("top.comp").alias("main"), F.when(split, need(F.col("top.m"), F.col("top.s"))).otherwise(0).alias("p"), need(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("q")
+    )
+    own, p, q = F.col("comp") == F.col("main"), F.col("p"), F.col("q")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    placed = rows.join(whole, F.col(group) == F.col("of"))
+    placed = placed.withColumn("block", F.when(p == 0, 0).when(own, deal(p)).otherwise(p + deal(q)))
+    placed = placed.withColumn("with", F.explode(F.when(p == 0, F.array(F.lit(0))).when(own, F.sequence(p, p + q - 1)).otherwise(F.sequence(F.lit(0), p + q - 1))))
+    i, j = F.least("block", "with"), F.greatest("block", "with")
+    placed = placed.withColumns({"g1": F.xxhash64(group, i, j), "g2": F.xxhash64(group, i, j, F.lit(1)), "one": i == j, "second": F.col("block") != i})
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keep = [c for c in rows.columns if c not in (group, "size")]
+    return placed.select("g1", "g2", "one", "second", *keep).repartition(parts, "g1", "g2").sortWithinPartitions("g1", "g2")
+
+
+def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole groups, and where each starts and ends."""
+    rest: list[pa.RecordBatch] = []  # of the last group, which may go on in the next batch
+    for batch in batches:
+        for k in range(0, batch.num_rows, most):
+            table = pa.Table.from_batches([*rest, batch.slice(k, most)])
+            g1, g2 = (table.column(c).to_numpy() for c in ("g1", "g2"))
+            cuts = np.append(0, np.flatnonzero((g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])) + 1)
+            if len(cuts) > 1:
+                yield table.slice(0, cuts[-1]), cuts
+            rest = table.slice(cuts[-1]).to_batches()
+    if rest:
+        table = pa.Table.from_batches(rest)
+        yield table, np.array([0, table.num_rows])
+
+
+def _sides(one: bool, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and the columns of a group's matrix."""
+    return (np.arange(len(second)),) * 2 if one else (np.flatnonzero(~second), np.flatnonzero(second))
+
+
+def _edges(matrix: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[list, list]:
+    return embed._forest(matrix, rows, cols) if matrix.any() else ([], [])
+
+
+def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what pairs of different components connect that may be links."""
+    least = agree(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _whole(batches, 10_000):
+            one, second, rep, comp, n = (table.column(c).to_numpy() for c in ("one", "second", "rep", "comp", "n"))
+            low = np.stack([table.column(c).to_numpy() for c in BYTES], axis=1).view(np.uint8)
+
+            def passes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                ok = np.flatnonzero((comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])))
+                return ok[(low[x[ok]] == low[y[ok]]).sum(axis=1) >= least]
+
+            size = np.diff(cuts)
+            few, group = size <= FEW, np.repeat(np.arange(len(size)), size)
+            a, b = [], []
+            for k in range(1, FEW):
+                y = np.flatnonzero((group[k:] == group[:-k]) & few[group[k:]]) + k
+                y = y[one[y] | (second[y] != second[y - k])]
+                y = y[passes(y - k, y)]
+                a.append(rep[y - k])
+                b.append(rep[y])
+            for g in np.flatnonzero(~few).tolist():
+                left, right = (x + cuts[g] for x in _sides(one[cuts[g]], second[cuts[g] : cuts[g + 1]]))
+                may = np.zeros((len(left), len(right)), bool)
+                for k in range(0, len(left), STRIPE):
+                    i, j = np.nonzero(comp[left[k : k + STRIPE], None] != comp[right])
+                    i += k
+                    if one[cuts[g]]:
+                        i, j = i[i < j], j[i < j]
+                    ok = passes(left[i], right[j])
+                    may[i[ok], j[ok]] = True
+                for all_, new in zip((a, b), _edges(may, rep[left], rep[right])):
+                    all_ += new
+            edges = np.stack((np.concatenate(a), np.concatenate(b)), axis=1)
+            edges.sort(axis=1)
+            edges = np.unique(edges, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``."""
+    _, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = many[at] > 1
+    own, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[some], (np.cumsum(many > 1) - 1)[at[some]]
+    order = np.argsort(col, kind="stable")
+    own, col = own[order], col[order]
+    out = np.zeros((len(left), len(right)))
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        first, last = np.searchsorted(col, (lo, lo + COLUMNS))
+        m = np.zeros((len(sets), int(col[last - 1]) + 1 - lo), np.float32)  # sums of one product stay below 2 ** 24
+        m[own[first:last], col[first:last] - lo] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def _exact(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what links between different components connect; links are counted on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _whole(batches, 2 * BLOCK):
+            a, b = [], []
+            one, second, rep, comp = (table.column(c).to_numpy() for c in ("one", "second", "rep", "comp"))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                left, right = _sides(one[lo], second[lo:hi])
+                other = comp[lo:hi][left, None] != comp[lo:hi][right]
+                if not other.any():
+                    continue
+                sets = list(shingles.shingle_sets(table.column("text").slice(lo, hi - lo).combine_chunks(), width))
+                n, shared = np.array([len(s) for s in sets]), _common(sets, left, right)
+                links = other & (shared > 0) & (100 * shared >= percent * (n[left, None] + n[right] - shared))
+                for all_, new in zip((a, b), _edges(links, rep[lo:hi][left], rep[lo:hi][right])):
+                    all_ += new
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+            common.release()
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def _rest(ws: common.Workspace, docs: DataFrame, live: DataFrame, found: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
+    """Links (a, b) between the components found so far: of every pair that shares a table."""
+    comp = F.coalesce("component", "rep").alias("comp")
+    rows = ws.save(live.join(found, F.col("rep") == F.col("node"), "left").select("key", comp, "rep", F.lit(0).alias("size"), "n", *BYTES), "buckets")
+    near = ws.save(_candidates(_blocked(rows, "key"), percent).distinct().coalesce(tasks), "near")
+    ws.drop(rows)
+    members = common.components(ws, near).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    n = members.count()
+    texts = only(texts, "id", members.select("id"), n).distinct().join(members, "id").join(found, F.col("id") == F.col("node"), "left")
+    texts = texts.select("cluster", F.coalesce("component", "id").alias("comp"), F.col("id").alias("rep"), F.octet_length("text").alias("size"), "text")
+    texts = ws.save(texts.coalesce(common.tasks(n, 10_000)), "clusters")
+    links = ws.save(_exact(_blocked(texts, "cluster"), width, percent).coalesce(tasks), "links")
+    ws.drop(texts)
+    return links
+
+
 def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among pairs with both texts, on the full shingle sets."""
 
@@ -276,21 +423,10 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     live = ws.save(live, "live")
     ws.drop(crowded)
     tasks = common.tasks(live.count())
-    links, tested, found, k = None, None, spark.createDataFrame([], "node long, component long"), 0
-    while True:
-        pairs = _round(ws, live, found, k, percent, tasks)
-        if tested is not None:
-            pairs = ws.save(pairs.join(tested, ["a", "b"], "left_anti").coalesce(tasks), "new")
-        tested = pairs if tested is None else tested.union(pairs)
-        n = pairs.count()
-        new = _linked(ws, docs, pairs, n, width, percent) if n else None
-        got = new.count() if n else 0
-        if got:
-            links = new if links is None else links.union(new)
-            found = common.components(ws, links)
-        if k and got <= YIELD * n:
-            break
-        k += 1
+    pairs = _first(ws, live, percent, tasks)
+    links = _linked(ws, docs, pairs, pairs.count(), width, percent)
+    found = common.components(ws, links)
+    found = common.components(ws, links.union(_rest(ws, docs, live, found, width, percent, tasks)))
     member = classes.join(found, classes["rep"] == found["node"], "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(member, ["h1", "h2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -133,3 +133,18 @@ def test_stage_keeps_one_of_a_group_and_of_an_id(spark):
     rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (3, "other words here", "c"), (3, "again other words", "c"), (4, None, "d"), (None, text, "e")]
     out = minhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
     assert sorted((r.doc_id for r in out), key=str) == [1, 3, 3, 4, None] and out[0].asDict().keys() == {"doc_id", "text", "lang"}
+
+
+def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
+    """Where the first step proposes nothing at all, every link is found, in groups of several blocks too."""
+    rng = random.Random(9)
+    base = ["w%d" % k for k in range(150)]
+    rows = [(k, " ".join(f"g{k // 2}{w}" for w in base) + " end" * (k % 2)) for k in range(8)]
+    for k in range(300):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(150)] = "x%d" % rng.randrange(40)
+        rows.append((100 + k, " ".join(w)))
+    proposals = minhash._proposals
+    monkeypatch.setattr(minhash, "_proposals", lambda *a: proposals(*a).where("false"))
+    check(spark, rows)
