@@ -15,7 +15,7 @@ proportion to the rows, and what it leaves out the second step finds.
 The second step takes every bucket of every table that holds more than one component and compares
 all its pairs of different components: those that pass the ratio of set sizes and agree in enough
 minhashes (a true link fails with a probability below 1e-4) are candidates.  What candidates
-connect is a cluster; in a cluster all pairs of different components are compared by their full
+connect is a cluster of components; in a cluster all pairs of different components are compared by their full
 sets, made again from the texts, with products of 0/1 matrices that count common shingles.
 Nothing is capped and no round is left out.  A large bucket or cluster is dealt into blocks of
 about ``BLOCK`` rows, and blocks meet in pairs; the blocks of its largest component don't meet
@@ -273,12 +273,12 @@ def _edges(matrix: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[list
 
 
 def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what pairs of different components connect that may be links."""
+    """Edges (a, b) between components; they connect what is connected by pairs that may be links."""
     least = agree(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _whole(batches, 10_000):
-            one, second, rep, comp, n = (table.column(c).to_numpy() for c in ("one", "second", "rep", "comp", "n"))
+            one, second, comp, n = (table.column(c).to_numpy() for c in ("one", "second", "comp", "n"))
             low = np.stack([table.column(c).to_numpy() for c in BYTES], axis=1).view(np.uint8)
 
             def passes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -292,8 +292,8 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
                 y = np.flatnonzero((group[k:] == group[:-k]) & few[group[k:]]) + k
                 y = y[one[y] | (second[y] != second[y - k])]
                 y = y[passes(y - k, y)]
-                a.append(rep[y - k])
-                b.append(rep[y])
+                a.append(comp[y - k])
+                b.append(comp[y])
             for g in np.flatnonzero(~few).tolist():
                 left, right = (x + cuts[g] for x in _sides(one[cuts[g]], second[cuts[g] : cuts[g + 1]]))
                 may = np.zeros((len(left), len(right)), bool)
@@ -304,11 +304,11 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
                         i, j = i[i < j], j[i < j]
                     ok = passes(left[i], right[j])
                     may[i[ok], j[ok]] = True
-                for all_, new in zip((a, b), _edges(may, rep[left], rep[right])):
+                for all_, new in zip((a, b), _edges(may, comp[left], comp[right])):
                     all_ += new
             edges = np.stack((np.concatenate(a), np.concatenate(b)), axis=1)
             edges.sort(axis=1)
-            edges = np.unique(edges, axis=0)
+            edges = np.unique(edges[edges[:, 0] < edges[:, 1]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long")
@@ -360,11 +360,13 @@ def _rest(ws: common.Workspace, docs: DataFrame, live: DataFrame, found: DataFra
     rows = ws.save(live.join(found, F.col("rep") == F.col("node"), "left").select("key", comp, "rep", F.lit(0).alias("size"), "n", *BYTES), "buckets")
     near = ws.save(_candidates(_blocked(rows, "key"), percent).distinct().coalesce(tasks), "near")
     ws.drop(rows)
-    members = common.components(ws, near).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    clusters = common.components(ws, near).toDF("comp", "cluster")
+    members = clusters.join(found, F.col("comp") == F.col("component"), "left").select(F.coalesce("node", "comp").alias("id"), "comp", "cluster")
+    members = ws.save(members.coalesce(tasks), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     n = members.count()
-    texts = only(texts, "id", members.select("id"), n).distinct().join(members, "id").join(found, F.col("id") == F.col("node"), "left")
-    texts = texts.select("cluster", F.coalesce("component", "id").alias("comp"), F.col("id").alias("rep"), F.octet_length("text").alias("size"), "text")
+    texts = only(texts, "id", members.select("id"), n).distinct().join(members, "id")
+    texts = texts.select("cluster", "comp", F.col("id").alias("rep"), F.octet_length("text").alias("size"), "text")
     texts = ws.save(texts.coalesce(common.tasks(n, 10_000)), "clusters")
     links = ws.save(_exact(_blocked(texts, "cluster"), width, percent).coalesce(tasks), "links")
     ws.drop(texts)
