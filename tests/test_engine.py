@@ -288,3 +288,14 @@ def test_streamed_maintenance_over_several_batches(spark, tmp_path):
     key = lambda r: (r.sensor, r.ts, r.value, r.severity, r.detector, r.rule_id)
     got, batch = (sorted(map(key, df.collect())) for df in (spark.read.schema(streams.MAINTAINED).parquet(f"{tmp_path}/out"), want))
     assert got == batch and {x[4] for x in got} == {"stuck", "drift", "sustained"}
+
+
+def test_cosines_of_blocks(spark):
+    """As the column function, odd vectors too; equal vectors have equal scores."""
+    rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [0.0, 0.0]), (5, [1.0]), (6, [float("nan"), 1.0]), (7, [2.0, 4.0]), (8, []), (9, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    pairs = v.toDF("a", "x").crossJoin(v.toDF("b", "y")).select("a", "b", match.cosine(F.col("x"), F.col("y")).alias("s"))
+    plain = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert plain(match.cosines(v, v)) == plain(pairs)
+    best = [(r.item, r.score) for r in match.cosines(v.where("id = 1"), v.where("id not in (6, 7)").coalesce(1), 2).collect()]
+    assert sorted(best) == [(1, best[0][1]), (9, best[0][1])]
