@@ -17,9 +17,11 @@ all its pairs of different components: those that pass the ratio of set sizes an
 minhashes (a true link fails with a probability below 1e-4) are candidates.  What candidates
 connect is a cluster of components; in a cluster all pairs of different components are compared by their full
 sets, made again from the texts, with products of 0/1 matrices that count common shingles.
-Nothing is capped and no round is left out.  A large bucket or cluster is dealt into blocks of
-about ``BLOCK`` rows, and blocks meet in pairs; the blocks of its largest component don't meet
-each other.  So where most of a group is one component, rows grow with the group, times its rows
+Nothing is capped and no round is left out.  Rows of a large group share many buckets; buckets
+of more than ``CROWD`` rows that have components in common are one group, each row once, so that
+its pairs are compared once, not again in each table (unless that makes more pairs than the
+buckets have).  A large group or cluster is dealt into blocks of ``NUMBERS`` or ``BLOCK`` rows,
+and blocks meet in pairs; the blocks of its largest component don't meet each other.  So where most of a group is one component, rows grow with the group, times its rows
 outside that component; a group without any links costs its square, in blocks.  Neither
 candidates nor links of a block become rows each: a block gives the edges of a spanning forest.
 
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, embed, shingles
@@ -47,8 +49,10 @@ from . import common, embed, shingles
 WIDTH, SIDES, DEPTH = 5, 8, 2
 #: Rows of a bucket, just before it in the bucket's order, with which one is compared in the first step.
 NEIGHBOURS = 2
-#: Rows and bytes of text of a block; larger buckets and clusters are compared by pairs of blocks.
-BLOCK, BYTES_OF_BLOCK = 128, 1 << 24
+#: Rows and bytes of text of a block; larger clusters are compared by pairs of blocks.
+BLOCK, BYTES_OF_BLOCK = 512, 1 << 24
+#: Rows of a block of minhashes, which have no text; rows of a bucket beyond which it may join others.
+NUMBERS, CROWD = 1024, 128
 #: Groups of rows up to which their pairs are made by shifts, without a matrix; rows and columns of a matrix in work.
 FEW, STRIPE, COLUMNS = 9, 64, 4096
 #: A link is 100 * intersection >= PERCENT * union.
@@ -223,14 +227,35 @@ def _first(ws: common.Workspace, live: DataFrame, percent: int, tasks: int) -> D
     return ws.save(pairs.coalesce(tasks), "pairs")
 
 
-def _blocked(rows: DataFrame, group: str) -> DataFrame:
+def _merged(ws: common.Workspace, rows: DataFrame) -> DataFrame:
+    """``rows(key, comp, rep, ...)`` of buckets with several components; crowded ones that share components are one, each row once."""
+    each = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    each = ws.save(each, "keys")
+    crowded = each.where(F.col("many") > CROWD)
+    if not crowded.limit(1).count():
+        return rows
+    own = rows.join(crowded, "key")
+    edges = own.select(F.col("comp").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    group = common.components(ws, edges).toDF("comp", "group")
+    own = own.join(group, "comp").withColumn("again", F.row_number().over(Window.partitionBy("group", "rep").orderBy("key")) > 1)
+    own = ws.save(own, "crowded")
+    # what the group compares once, against what its buckets compare
+    once = own.where("not again").groupBy("group").agg(F.count("*").alias("once"))
+    apart = own.groupBy("group", "key").agg(F.count("*").cast("double").alias("n")).groupBy("group").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
+    better = once.join(apart, "group").where(F.col("once").cast("double") * F.col("once") < F.col("apart")).select("group", F.lit(True).alias("merge"))
+    own = own.join(better, "group", "left").where("merge is null or not again")
+    own = own.withColumn("key", F.when(F.col("merge"), F.xxhash64(F.lit("group"), "group")).otherwise(F.col("key"))).select(rows.columns)
+    return rows.join(each.where(F.col("many") <= CROWD).select("key"), "key", "left_semi").unionByName(own)
+
+
+def _blocked(rows: DataFrame, group: str, block: int) -> DataFrame:
     """``rows(group, comp, rep, size, ...)`` of groups with several components, dealt into the pairs of blocks that must meet.
 
     A pair of blocks has one (g1, g2); ``one`` if it is a block with itself, ``second`` for rows of the second block.
     """
     each = rows.groupBy(group, "comp").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
     whole = each.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("comps"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "comp")).alias("top"))
-    need = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BYTES_OF_BLOCK), F.lit(1)).cast("int")
+    need = lambda m, s: F.greatest(F.ceil(m / block), F.ceil(s / BYTES_OF_BLOCK), F.lit(1)).cast("int")
     split = need(F.col("m"), F.col("s")) > 1
     whole = whole.where("comps > 1").select(
         "of", F.col("top.comp").alias("main"), F.when(split, need(F.col("top.m"), F.col("top.s"))).otherwise(0).alias("p"), need(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("q")
@@ -358,7 +383,7 @@ def _rest(ws: common.Workspace, docs: DataFrame, live: DataFrame, found: DataFra
     """Links (a, b) between the components found so far: of every pair that shares a table."""
     comp = F.coalesce("component", "rep").alias("comp")
     rows = ws.save(live.join(found, F.col("rep") == F.col("node"), "left").select("key", comp, "rep", F.lit(0).alias("size"), "n", *BYTES), "buckets")
-    near = ws.save(_candidates(_blocked(rows, "key"), percent).distinct().coalesce(tasks), "near")
+    near = ws.save(_candidates(_blocked(_merged(ws, rows), "key", NUMBERS), percent).distinct().coalesce(tasks), "near")
     ws.drop(rows)
     clusters = common.components(ws, near).toDF("comp", "cluster")
     members = clusters.join(found, F.col("comp") == F.col("component"), "left").select(F.coalesce("node", "comp").alias("id"), "comp", "cluster")
@@ -368,7 +393,7 @@ def _rest(ws: common.Workspace, docs: DataFrame, live: DataFrame, found: DataFra
     texts = only(texts, "id", members.select("id"), n).distinct().join(members, "id")
     texts = texts.select("cluster", "comp", F.col("id").alias("rep"), F.octet_length("text").alias("size"), "text")
     texts = ws.save(texts.coalesce(common.tasks(n, 10_000)), "clusters")
-    links = ws.save(_exact(_blocked(texts, "cluster"), width, percent).coalesce(tasks), "links")
+    links = ws.save(_exact(_blocked(texts, "cluster", BLOCK), width, percent).coalesce(tasks), "links")
     ws.drop(texts)
     return links
 

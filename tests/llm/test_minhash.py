@@ -148,3 +148,35 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
     proposals = minhash._proposals
     monkeypatch.setattr(minhash, "_proposals", lambda *a: proposals(*a).where("false"))
     check(spark, rows)
+
+
+def test_crowded_buckets_are_compared_once(spark, monkeypatch):
+    """Rows that share many large buckets don't meet again in each; merged or not, every link is found."""
+    rng = random.Random(12)
+    base, rows = ["w%d" % k for k in range(150)], []
+    for k in range(400):
+        w = list(base)
+        for _ in range(rng.choice([2, 4, 5])):
+            w[rng.randrange(150)] = "x%d" % rng.randrange(4000)
+        rows.append((k, " ".join(w)))
+    proposals, blocked, made = minhash._proposals, minhash._blocked, {}
+    monkeypatch.setattr(minhash, "_proposals", lambda *a: proposals(*a).where("false"))
+
+    def counted(of, group, *more):
+        out = blocked(of, group, *more)
+        made[group] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "_blocked", counted)
+    check(spark, rows)
+    # no more rows than the tables have; before, rows of a bucket of over 128 went to each of its blocks
+    live = 400 * minhash.SIDES**2
+    assert made["key"] < live
+    rows = []
+    for g in range(6):
+        base = ["g%dw%d" % (g % 5, k) for k in range(60)]
+        rows += [(500 * g + k, " ".join(base[k // 2 : k // 2 + 40])) for k in range(41)]
+    monkeypatch.setattr(minhash, "CROWD", 2)
+    monkeypatch.setattr(minhash, "NUMBERS", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    check(spark, rows)
