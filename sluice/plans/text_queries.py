@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sluice.catalog import query
 from sluice.functions import text as T
-from sluice.sources.tables import small, table, values, values_sql
+from sluice.operators import match
+from sluice.sources.tables import table, values, values_sql
 
 LINES = "lines AS (SELECT doc_id, n, t[n] AS s FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))"
 
@@ -98,7 +99,7 @@ H11 = "SELECT a.doc_id, b.item_id, len(list_intersect(x, y)) / len(list_distinct
 def h11(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("x"))
     items = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("y"))
-    return docs.crossJoin(small(items)).select("doc_id", "item_id", T.jaccard(F.col("x"), F.col("y")).alias("j"))
+    return match.jaccards(items, docs).select(F.col("item").alias("doc_id"), F.col("query").alias("item_id"), F.col("score").alias("j"))
 
 
 @query("h12_closeness", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(0.0, 1 - abs(l_quantity - l_extendedprice / 1000) / greatest(abs(l_quantity), abs(l_extendedprice / 1000), 1e-9)) AS c FROM lineitem")

@@ -327,3 +327,18 @@ def test_numbers_are_assigned_as_by_all_pairs(spark, tmp_path):
     spark.createDataFrame([(1, 7, 5.0), (1, 7, 6.0)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/two/supplier.parquet")
     spark.createDataFrame([(9, 8, 6.0), (10, 8, 5.0)], "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{tmp_path}/two/customer.parquet")
     assert [tuple(r) for r in catalog.QUERIES["m9_wrong_corpus"](spark, f"{tmp_path}/two").collect()] == [("7>8", 1.0)]
+
+
+def test_jaccard_of_blocks(spark, tmp_path):
+    """As the column function on odd rows too; 5000 long texts against 200 items in time."""
+    rows = [(1, ["a", "b"]), (2, None), (3, []), (4, ["b", "c", "d"]), (5, ["é"]), (6, ["a", "b"]), (6, ["z"])]
+    v = spark.createDataFrame(rows, "id long, v array<string>")
+    pairs = v.toDF("query", "x").crossJoin(v.toDF("item", "y")).select("query", "item", T.jaccard(F.col("x"), F.col("y")).alias("score"))
+    plain = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert plain(match.jaccards(v, v)) == plain(pairs) and match.jaccards(v.where("false"), v).count() == 0
+    text = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", k), F.lit(4000)).cast("string"))), " ")
+    spark.range(5_000).select(F.col("id").alias("doc_id"), text(400).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(200).select(F.col("id").alias("item_id"), text(200).alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    began = time.time()
+    got = catalog.QUERIES["h11_jaccard"](spark, str(tmp_path)).agg(F.count("*"), F.max("j")).first()
+    assert got[0] == 1_000_000 and got[1] <= 1 and time.time() - began < 30
