@@ -342,3 +342,19 @@ def test_jaccard_of_blocks(spark, tmp_path):
     began = time.time()
     got = catalog.QUERIES["h11_jaccard"](spark, str(tmp_path)).agg(F.count("*"), F.max("j")).first()
     assert got[0] == 1_000_000 and got[1] <= 1 and time.time() - began < 30
+
+
+def test_similar_names_as_in_sql(spark, tmp_path, monkeypatch):
+    """Repeated, empty, long and non-ASCII names, a key held by two rows, in one block and in several."""
+    import duckdb
+
+    rng = random.Random(3)
+    names = ["", "é", "è", "large ring", "large rings", "x" * 70, "x" * 69 + "y", None] + ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))) for _ in range(12)]
+    rows = [(k // 2 if k < 8 else k, rng.choice(names), rng.choice(["B", None]) if k % 9 == 0 else "B", k % 2) for k in range(240)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(db.execute(catalog.ORACLES["c22_similar_names"]).fetchall())
+    for block in (1024, 16):
+        monkeypatch.setattr(match, "BLOCK_OF_NAMES", block)
+        assert sorted(map(tuple, catalog.QUERIES["c22_similar_names"](spark, str(tmp_path)).collect())) == want and len(want) > 100
